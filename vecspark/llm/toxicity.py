@@ -23,7 +23,7 @@ from .base import ALNUM_BYTES, Words, keyed, mix, text_chunks
 SAMPLE_ROWS = 8000
 #: Bytes of the word beginnings that are features beside whole words.
 HEADS = (4, 5, 6)
-FEATURES, SIGNIFICANT, LEAST_DOCS = 512, 6.0, 4
+FEATURES, SIGNIFICANT, LEAST_DOCS = 512, 4.5, 3
 #: Terms swapped in the counterfactuals, and sentences that serve as such beside those that hold one.
 IDENTITIES = ("women", "men", "girls", "boys", "muslims", "christians", "jews", "hindus", "atheists", "immigrants", "refugees", "foreigners", "gay", "lesbian", "straight", "transgender", "black", "white", "asian", "latino", "arab", "african", "european", "american", "disabled", "deaf", "blind", "elderly", "young", "poor")
 CARRIERS = 400
