@@ -1 +1,11 @@
-QUERIES, ORACLE_SQL = {}, {}
+"""Registered queries over the tables, and their SQL."""
+
+from . import dynamic, graphs, search
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+for _module in (search, graphs, dynamic):
+    for _name, (_query, _sql) in _module.REGISTRY.items():
+        QUERIES[_name] = _query
+        if _sql:
+            ORACLE_SQL[_name] = _sql
