@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
 from .search import pairwise
 
 #: Rows that fit one greedy group; larger ones are first split by recursive_cells.
@@ -60,16 +61,17 @@ def balanced_partition(base: DataFrame, k: int, imbalance: float = 0.05) -> Data
                 order = np.argsort(d, axis=1, kind="stable")
                 yield pd.DataFrame({"id": b["id"], "parts": list(order), "dists": list(np.take_along_axis(d, order, 1))})
 
-    left = base.where("vec is not null").select("id", "vec").mapInPandas(wishes, "id long, parts array<long>, dists array<double>").persist()
+    left = base.where("vec is not null").select("id", "vec").mapInPandas(wishes, "id long, parts array<long>, dists array<double>")
+    left = cut(left)
     placed = None
     for turn in range(len(c)):
         used = {} if placed is None else {r.part: r["count"] for r in placed.groupBy("part").count().collect()}
         room = F.create_map(*[x for p in range(len(c)) for x in (F.lit(p).cast("long"), F.lit(cap - used.get(p, 0)))])
         wish = left.withColumn("part", F.get("parts", F.lit(turn))).withColumn("d", F.get("dists", F.lit(turn)))
         wish = wish.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("d", "id")))
-        taken = wish.where(F.col("r") <= room[F.col("part")]).select("id", "part").persist()
-        placed = taken if placed is None else placed.unionByName(taken).persist()
-        left = left.join(taken.select("id"), "id", "left_anti").persist()
+        taken = cut(wish.where(F.col("r") <= room[F.col("part")]).select("id", "part"))
+        placed = taken if placed is None else placed.unionByName(taken)
+        left = cut(left.join(taken.select("id"), "id", "left_anti"))
         if not left.limit(1).count():
             break
     return placed
@@ -122,14 +124,13 @@ def label_communities(pairs: DataFrame, rounds: int = 10) -> DataFrame:
     Synchronous rounds of aggregation, every other node in turn so that two don't swap for ever; ties go to
     the smaller community. Communities are renumbered by their least node.
     """
-    both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), "weight").unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("v"), "weight")).persist()
-    label = both.select(F.col("u").alias("id")).distinct().withColumn("c", F.col("id")).persist()
+    both = cut(pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), "weight").unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("v"), "weight")))
+    label = cut(both.select(F.col("u").alias("id")).distinct().withColumn("c", F.col("id")))
     for turn in range(rounds):
         near = both.join(label.select(F.col("id").alias("v"), "c"), "v").groupBy("u", "c").agg(F.sum("weight").alias("w"))
         best = near.groupBy("u").agg(F.min(F.struct((-F.col("w")).alias("m"), "c"))["c"].alias("best"))
         moves = (F.pmod(F.xxhash64("id"), F.lit(2)) == turn % 2) & F.col("best").isNotNull()
-        label = label.join(best.select(F.col("u").alias("id"), "best"), "id", "left").select("id", F.when(moves, F.col("best")).otherwise(F.col("c")).alias("c")).persist()
-        label.count()
+        label = cut(label.join(best.select(F.col("u").alias("id"), "best"), "id", "left").select("id", F.when(moves, F.col("best")).otherwise(F.col("c")).alias("c")))
     least = label.groupBy("c").agg(F.min("id").alias("community"))
     return label.join(least, "c").select("id", "community")
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from vecspark.functions import vectors as V
 
+from .lineage import cut
+
 
 def centroid(df: DataFrame, key: str, vec: str = "vec") -> DataFrame:
     """(key, n, centroid): element-wise means in double precision, partly summed before the shuffle."""
@@ -96,17 +98,13 @@ def bfs_levels(edges: DataFrame, entries: DataFrame, depth: int = 32) -> DataFra
     frontier = seen
     for level in range(1, depth + 1):
         new = frontier.join(edges.select("src", "dst"), F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
-        frontier = new.select("id", F.lit(level).cast("long").alias("level")).checkpoint() if _checkpoints(new) else new.select("id", F.lit(level).cast("long").alias("level")).persist()
+        frontier = cut(new.select("id", F.lit(level).cast("long").alias("level")))
         if not frontier.limit(1).count():
             break
-        seen = seen.unionByName(frontier)
+        seen = cut(seen.unionByName(frontier))
     return seen
 
 
-def _checkpoints(df: DataFrame) -> bool:
-    return bool(df.sparkSession.conf.get("spark.checkpoint.dir", None))
-
-
 def coaccess(trace: DataFrame, window: int, least_hop: int, scope: str | None = None) -> DataFrame:
     """(node_a, node_b, together): pairs of nodes at most `window` rows apart in a query's trace.
 

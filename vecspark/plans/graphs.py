@@ -9,6 +9,7 @@ from vecspark.functions import vectors as V
 from vecspark.operators import partition as P
 from vecspark.operators import relational as R
 from vecspark.operators import search as S
+from vecspark.operators.lineage import cut
 
 from .common import E_SQL, G_SQL, L2, base, load, r6, registrar
 
@@ -46,11 +47,11 @@ def cross(spark, d):
 
 
 @add("a24_edge_cut_a26_modularity", f"WITH {W_SQL}, J AS (SELECT u.*, s.label AS ca, t.label AS cb FROM U u JOIN E s ON a = s.id JOIN E t ON b = t.id), T AS (SELECT c, sum(w) AS tot FROM (SELECT ca AS c, weight AS w FROM J UNION ALL SELECT cb, weight FROM J) GROUP BY c), I AS (SELECT ca AS c, sum(weight) * 2 AS ins FROM J WHERE ca = cb GROUP BY ca), M AS (SELECT sum(weight) * 2.0 AS m2 FROM U) SELECT (SELECT sum(weight)::BIGINT FROM J WHERE ca <> cb) AS edge_cut, round(sum(coalesce(ins, 0) / m2 - (tot / m2) * (tot / m2)), 6)::DOUBLE AS modularity FROM T LEFT JOIN I USING (c), M")
-def cut(spark, d):
+def edge_cut(spark, d):
     u, m = R.undirected_weights(graph(spark, d)), members(spark, d)
     c = u.join(m.select(F.col("id").alias("a"), F.col("community").alias("ca")), "a").join(m.select(F.col("id").alias("b"), F.col("community").alias("cb")), "b")
-    edge_cut = c.agg(F.sum(F.when(F.col("ca") != F.col("cb"), F.col("weight")).otherwise(0)).alias("edge_cut"))
-    return edge_cut.join(R.modularity(u, m)).select("edge_cut", F.round("modularity", 6).alias("modularity"))
+    crossing = c.agg(F.sum(F.when(F.col("ca") != F.col("cb"), F.col("weight")).otherwise(0)).alias("edge_cut"))
+    return crossing.join(R.modularity(u, m)).select("edge_cut", F.round("modularity", 6).alias("modularity"))
 
 
 @add("j21_two_hop_mode", f"WITH {G_SQL}, H AS (SELECT x.src, y.dst // 32 AS page, count(*) AS n FROM G x JOIN G y ON x.dst = y.src GROUP BY ALL) SELECT src, page, n FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY n DESC, page) AS r FROM H) WHERE r = 1")
@@ -62,7 +63,7 @@ def two_hop(spark, d):
 
 @add("a35_g31_bfs_levels", f"WITH RECURSIVE {G_SQL}, B(id, level) AS (SELECT 0::BIGINT, 0 UNION SELECT G.dst, B.level + 1 FROM B JOIN G ON G.src = B.id WHERE B.level < 6) SELECT level::BIGINT AS level, count(*) AS n FROM (SELECT id, min(level) AS level FROM B GROUP BY id) GROUP BY level")
 def bfs(spark, d):
-    g = graph(spark, d).select("src", "dst").persist()
+    g = cut(graph(spark, d).select("src", "dst"))
     return R.bfs_levels(g, spark.range(1), 6).groupBy("level").agg(F.count("*").alias("n"))
 
 
@@ -100,7 +101,7 @@ def node_importance(spark, d):
 @add("w2_hub_ratio", f"WITH {EV} SELECT id, rank FROM (SELECT id, row_number() OVER (ORDER BY round(raw, 9) DESC, id) AS rank, count(*) OVER () AS n FROM R) WHERE rank <= ceil(n * 0.05)")
 def hubs(spark, d):
     """The share of nodes with the most importance: the ranked rows are the hubs only."""
-    i = importance(spark, d).select("id", F.round("raw", 9).alias("raw")).persist()
+    i = cut(importance(spark, d).select("id", F.round("raw", 9).alias("raw")))
     n = i.count()
     top = i.orderBy(F.desc("raw"), "id").limit(-(-n * 5 // 100))
     return top.select("id", F.row_number().over(Window.orderBy(F.desc("raw"), "id")).cast("long").alias("rank"))
@@ -160,7 +161,7 @@ def classes(spark, d):
 
 @add("w7_low_importance_trim", f"WITH {EV}, H AS (SELECT label, E.id, row_number() OVER (PARTITION BY label ORDER BY round(raw, 9), E.id) AS r, count(*) OVER (PARTITION BY label) AS n FROM E JOIN R ON E.id = R.id), L AS (SELECT id FROM H WHERE r <= n // 2), X AS (SELECT G.src, G.dst, row_number() OVER (PARTITION BY G.src ORDER BY round(raw, 9), G.dst DESC) AS k FROM G JOIN R ON G.dst = R.id) SELECT src, dst FROM X WHERE NOT (k = 1 AND src IN (SELECT id FROM L))")
 def trim(spark, d):
-    i = importance(spark, d).select("id", F.round("raw", 9).alias("raw")).persist()
+    i = cut(importance(spark, d).select("id", F.round("raw", 9).alias("raw")))
     w = Window.partitionBy("community")
     low = i.join(members(spark, d), "id").withColumn("r", F.row_number().over(w.orderBy("raw", "id"))).withColumn("n", F.count("*").over(w)).where(F.col("r") <= F.floor(F.col("n") / 2)).select(F.col("id").alias("src"), F.lit(1).alias("low"))
     x = graph(spark, d).select("src", "dst").join(i.select(F.col("id").alias("dst"), "raw"), "dst")
