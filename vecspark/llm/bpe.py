@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 #: Entries kept by a worker for whole pieces (in each of two generations), and machine states;
 #: beyond these the older generation, or the machine, starts anew.
-PIECES, STATES = 250_000, 400_000
+PIECES, STATES = 60_000, 60_000
 #: Pending bytes after which a long piece looks for tokens that are settled.
 LOOKAHEAD = 256
 
@@ -109,7 +109,7 @@ class Transducer:
                 limit, y = y + 1, right[0]  # of two equal merges the left one comes first
             else:
                 break
-        if len(self.follows) > 4 * STATES:
+        if len(self.follows) > 2 * STATES:
             self.follows.clear()
         self.follows[before << 20 | token] = ok
         return ok
@@ -265,15 +265,19 @@ class Decoder:
         return machine.complete
 
 
-_machines: dict[int, tuple[Transducer, Decoder]] = {}
+_machines: dict[tuple, Transducer | Decoder] = {}
 
 
-def _machine(shared, pattern: str) -> tuple[Transducer, Decoder]:
-    """This worker's machines for a vocabulary; they and their tables outlive a task."""
+def _machine(kind: type, shared, *more: str):
+    """This worker's encoder or decoder of a vocabulary; it outlives a task.
+
+    A task of encode and decode has two workers, and these change places: an executor holds up to four of
+    each, which is why the tables above are small.
+    """
     ranks = shared.value
-    key = hash((len(ranks), pattern, next(iter(ranks))))
+    key = (kind, len(ranks), next(iter(ranks)), *more)
     if key not in _machines:
-        _machines[key] = Transducer(ranks, pattern), Decoder(ranks)
+        _machines[key] = kind(ranks, *more)
     return _machines[key]
 
 
@@ -286,7 +290,7 @@ def _lists(values: np.ndarray, sizes: list[int]) -> pa.Array:
 
 
 #: Characters of text encoded before a batch is sent on.
-SEND = 4 << 20
+SEND = 2 << 20
 
 
 def encode(documents: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -298,7 +302,7 @@ def encode(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = _machine(shared, pattern)[0]
+        machine = _machine(Transducer, shared, pattern)
         for batch in batches:
             keys, texts = _column(batch, "doc_id"), _column(batch, "text")
             at = 0
@@ -325,14 +329,14 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     schema = T.StructType([*others, T.StructField("decoded", T.BinaryType()), T.StructField("valid", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = _machine(shared, pattern)[1]
+        machine = _machine(Decoder, shared)
         for batch in batches:
             lists = _column(batch, "ids")
             bounds = np.concatenate(([0], np.cumsum(np.array(lists.value_lengths().fill_null(0), np.int64))))
             values = lists.flatten().to_numpy(zero_copy_only=False)
             at = 0
             while at < len(batch):
-                stop = max(at + 1, int(np.searchsorted(bounds, bounds[at] + SEND // 8, "right")) - 1)
+                stop = max(at + 1, int(np.searchsorted(bounds, bounds[at] + SEND // 4, "right")) - 1)
                 ids = values[bounds[at] : bounds[stop]]
                 data, lengths = machine.bytes(ids)
                 total = np.concatenate(([0], np.cumsum(lengths)))
