@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 #: Entries kept by a worker for whole pieces (in each of two generations), and machine states;
 #: beyond these the older generation, or the machine, starts anew.
-PIECES, STATES = 60_000, 60_000
+PIECES, STATES = 80_000, 150_000
 #: Pending bytes after which a long piece looks for tokens that are settled.
 LOOKAHEAD = 256
 
@@ -109,7 +109,7 @@ class Transducer:
                 limit, y = y + 1, right[0]  # of two equal merges the left one comes first
             else:
                 break
-        if len(self.follows) > 2 * STATES:
+        if len(self.follows) > 4 * STATES:
             self.follows.clear()
         self.follows[before << 20 | token] = ok
         return ok
