@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecspark.llm.base import doc_key, materialize, table
-from vecspark.llm.bpe import PATTERN, decode, encode
 from vecspark.llm.fmindex import contaminated_spans
 from vecspark.llm.langid import identify, learn_languages
 from vecspark.llm.lines import line_dedup
-from vecspark.llm.queries import tokenizer_path
+from vecspark.llm.queries import tokens
 from vecspark.llm.simhash import simhash_components
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -54,10 +53,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): the tokens of each text, checked by decoding."""
-    path = tokenizer_path()
-    digest = F.sha2(F.array_join(F.transform("ids", lambda i: i.cast("string")), " "), 256)
-    marked = encode(docs, path, PATTERN).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), "ids")
-    return decode(marked, path, PATTERN).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return tokens(docs).drop("decoded_valid")
 
 
 STAGES = [

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from vecspark.llm import queries as Q  # noqa: E402
 from vecspark.llm.automaton import substring_dedup  # noqa: E402
-from vecspark.llm.bpe import PATTERN, Transducer, Utf8Machine, encode, load_ranks  # noqa: E402
+from vecspark.llm.bpe import PATTERN, Transducer, Utf8Machine, decode, encode, load_ranks, round_trip  # noqa: E402
 from vecspark.llm.components import components  # noqa: E402
 from vecspark.llm.fmindex import contaminated_spans  # noqa: E402
 from vecspark.llm.langid import identify, learn_languages  # noqa: E402
@@ -228,6 +228,17 @@ def test_bpe(spark, which):
     assert collections.Counter((r.doc_id, tuple(r.ids)) for r in got) == collections.Counter((d, tuple(own.encode_ordinary(t or ""))) for d, t in data)
 
 
+@cases
+def test_bpe_decodes_in_one_pass_as_in_two(spark, which):
+    data = rows(spark, which)
+    path = Q.tokenizer_path()
+    one = collections.Counter((r.doc_id, tuple(r.ids), bytes(r.decoded), r.valid) for r in round_trip(frame(spark, data), path, PATTERN).collect())
+    assert collections.Counter({(d, b, v): n for (d, _, b, v), n in one.items()}) == collections.Counter((d, (t or "").encode(), True) for d, t in data)
+    ids = spark.createDataFrame([(d, list(i)) for d, i, _, _ in one.elements()] + [(50, None)], "doc_id long, ids array<int>")
+    two = collections.Counter((r.doc_id, bytes(r.decoded), r.valid) for r in decode(ids, path).collect())
+    assert two == collections.Counter([(d, b, v) for d, _, b, v in one.elements()] + [(50, b"", True)])
+
+
 def test_bpe_query(spark):
     data = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     for r in Q.op10_byte_bpe(spark, DATA).collect():

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -24,7 +25,7 @@ from pyspark.sql import types as T
 
 #: Entries kept by a worker for whole pieces (in each of two generations), and machine states;
 #: beyond these the older generation, or the machine, starts anew.
-PIECES, STATES = 80_000, 150_000
+PIECES, STATES = 250_000, 400_000
 #: Pending bytes after which a long piece looks for tokens that are settled.
 LOOKAHEAD = 256
 
@@ -59,8 +60,9 @@ class Transducer:
         self.open = {b[:n] for b in ranks for n in range(1, len(b))}  # what may grow into a token
         self.follows: dict[int, bool] = {}
         self.splits: dict[int, tuple[int, int] | None] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        #: The tokens of whole pieces, as the bytes of 32-bit integers: small, and quick to join.
+        self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self._reset()
 
     def _reset(self) -> None:
@@ -168,16 +170,17 @@ class Transducer:
             n -= len(self.token[lasts[n]])
         return out[::-1]
 
-    def piece(self, text: str) -> tuple[int, ...]:
+    def piece(self, text: str) -> bytes:
         if len(self.pieces) >= PIECES:
-            self.older, self.pieces = self.pieces, {}
+            self.older = dict(self.pieces)
+            self.pieces.clear()
         if text in self.older:
             ids = self.pieces[text] = self.older[text]
             return ids
         data = text.encode()
         whole = self.ranks.get(data)
         if whole is not None:
-            ids = (whole,)
+            found = [whole]
         elif len(data) < LOOKAHEAD:
             if len(self.index) > STATES:
                 self._reset()
@@ -185,18 +188,21 @@ class Transducer:
             for byte in data:
                 state, token = state[0].get(byte) or self._step(state, byte)
                 lasts.append(token)
-            ids = tuple(self._trace(lasts, len(data)))
+            found = self._trace(lasts, len(data))
         else:
-            ids = tuple(self.stream(data))
-        self.pieces[text] = ids
+            found = self.stream(data)
+        ids = array("i", found).tobytes()
+        if len(data) < LOOKAHEAD:
+            self.pieces[text] = ids
         return ids
 
+    def packed(self, text: str) -> bytes:
+        """The tokens of a text as the bytes of 32-bit integers."""
+        known, make = self.pieces.get, self.piece
+        return b"".join([known(p) or make(p) for p in (_usual(text) if self.plain and not _unusual(text) else self.find(text))])
+
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        known, add = self.pieces.get, out.extend
-        for p in _usual(text) if self.plain and not _unusual(text) else self.find(text):
-            add(known(p) or self.piece(p))
-        return out
+        return array("i", self.packed(text)).tolist()
 
 
 class Utf8Machine:
@@ -269,11 +275,7 @@ _machines: dict[tuple, Transducer | Decoder] = {}
 
 
 def _machine(kind: type, shared, *more: str):
-    """This worker's encoder or decoder of a vocabulary; it outlives a task.
-
-    A task of encode and decode has two workers, and these change places: an executor holds up to four of
-    each, which is why the tables above are small.
-    """
+    """This worker's encoder or decoder of a vocabulary; it outlives a task."""
     ranks = shared.value
     key = (kind, len(ranks), next(iter(ranks)), *more)
     if key not in _machines:
@@ -285,66 +287,95 @@ def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-def _lists(values: np.ndarray, sizes: list[int]) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(values, pa.int32()))
+def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, pa.int32()))
 
 
 #: Characters of text encoded before a batch is sent on.
 SEND = 2 << 20
 
 
+def _encoded(machine: Transducer, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, past the last row, ids, bounds of each row's ids) of runs of texts."""
+    at = 0
+    while at < len(texts):
+        out, chars, first = [], 0, at
+        while at < len(texts) and chars < SEND:
+            text = texts[at].as_py() or ""
+            out.append(machine.packed(text))
+            chars, at = chars + len(text), at + 1
+        bounds = np.append(0, np.cumsum([len(x) for x in out])) // 4
+        yield first, at, np.frombuffer(b"".join(out), np.int32), bounds
+
+
+def _decoded(machine: Decoder, ids: np.ndarray, bounds: np.ndarray) -> list[pa.Array]:
+    """The bytes of each row's ids, and whether they are whole UTF-8."""
+    data, lengths = machine.bytes(ids)
+    where, raw = np.append(0, np.cumsum(lengths))[bounds], data.tobytes()
+    out = pa.array([raw[a:b] for a, b in zip(where[:-1], where[1:], strict=True)], pa.binary())
+    return [out, pa.array([machine.valid(ids[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.bool_())]
+
+
+_ID, _IDS = T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))
+_BACK = [T.StructField("decoded", T.BinaryType()), T.StructField("valid", T.BooleanType())]
+
+
+def _texts(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def encode(documents: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Add `ids` array<int> to (doc_id, text): the tokens of each whole text; null text has none.
+    """(doc_id, ids array<int>): the tokens of each whole text; null text has none.
 
     The vocabulary is broadcast: a file of a fixed size, about 1 MB.
     """
     shared = documents.sparkSession.sparkContext.broadcast(load_ranks(path))
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = _machine(Transducer, shared, pattern)
         for batch in batches:
-            keys, texts = _column(batch, "doc_id"), _column(batch, "text")
-            at = 0
-            while at < len(batch):
-                flat, sizes, chars, first = [], [], 0, at
-                while at < len(batch) and chars < SEND:
-                    text = texts[at].as_py() or ""
-                    ids = machine.encode(text)
-                    flat.append(np.array(ids, np.int32))
-                    sizes.append(len(ids))
-                    chars, at = chars + len(text), at + 1
-                yield pa.RecordBatch.from_arrays([keys.slice(first, at - first), _lists(np.concatenate(flat), sizes)], ["doc_id", "ids"])
+            for lo, hi, ids, bounds in _encoded(machine, _column(batch, "text")):
+                yield pa.RecordBatch.from_arrays([_column(batch, "doc_id").slice(lo, hi - lo), _lists(ids, bounds)], ["doc_id", "ids"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return _texts(documents).mapInArrow(run, T.StructType([_ID, _IDS]))
 
 
-def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+def decode(encoded: DataFrame, path: str) -> DataFrame:
     """Replace `ids` by `decoded` (binary) and `valid`: whether it is whole UTF-8; null ids are empty.
 
     Other columns are passed through.
     """
     shared = encoded.sparkSession.sparkContext.broadcast(load_ranks(path))
     others = [f for f in encoded.schema.fields if f.name != "ids"]
-    schema = T.StructType([*others, T.StructField("decoded", T.BinaryType()), T.StructField("valid", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = _machine(Decoder, shared)
         for batch in batches:
             lists = _column(batch, "ids")
-            bounds = np.concatenate(([0], np.cumsum(np.array(lists.value_lengths().fill_null(0), np.int64))))
+            bounds = np.append(0, np.cumsum(np.array(lists.value_lengths().fill_null(0), np.int64)))
             values = lists.flatten().to_numpy(zero_copy_only=False)
             at = 0
             while at < len(batch):
                 stop = max(at + 1, int(np.searchsorted(bounds, bounds[at] + SEND // 4, "right")) - 1)
-                ids = values[bounds[at] : bounds[stop]]
-                data, lengths = machine.bytes(ids)
-                total = np.concatenate(([0], np.cumsum(lengths)))
-                inner = bounds[at : stop + 1] - bounds[at]
-                where, raw = total[inner], data.tobytes()
-                out = pa.array([raw[a:b] for a, b in zip(where[:-1], where[1:], strict=True)], pa.binary())
-                valid = pa.array([machine.valid(ids[a:b]) for a, b in zip(inner[:-1], inner[1:], strict=True)], pa.bool_())
-                yield pa.RecordBatch.from_arrays([*(_column(batch, f.name).slice(at, stop - at) for f in others), out, valid], [*(f.name for f in others), "decoded", "valid"])
+                back = _decoded(machine, values[bounds[at] : bounds[stop]], bounds[at : stop + 1] - bounds[at])
+                yield pa.RecordBatch.from_arrays([*(_column(batch, f.name).slice(at, stop - at) for f in others), *back], [*(f.name for f in others), "decoded", "valid"])
                 at = stop
 
-    return encoded.mapInArrow(run, schema)
+    return encoded.mapInArrow(run, T.StructType([*others, *_BACK]))
+
+
+def round_trip(documents: DataFrame, path: str, pattern: str) -> DataFrame:
+    """(doc_id, ids, decoded, valid): each whole text encoded, and its ids decoded, in one pass.
+
+    As decode(encode(...)), but ids don't go to the JVM and back, and an executor has one worker a core
+    instead of two, each with half the memory. The decoder sees nothing but the ids.
+    """
+    shared = documents.sparkSession.sparkContext.broadcast(load_ranks(path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = _machine(Transducer, shared, pattern), _machine(Decoder, shared)
+        for batch in batches:
+            for lo, hi, ids, bounds in _encoded(encoder, _column(batch, "text")):
+                yield pa.RecordBatch.from_arrays([_column(batch, "doc_id").slice(lo, hi - lo), _lists(ids, bounds), *_decoded(decoder, ids, bounds)], ["doc_id", "ids", "decoded", "valid"])
+
+    return _texts(documents).mapInArrow(run, T.StructType([_ID, _IDS, *_BACK]))

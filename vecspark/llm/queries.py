@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .automaton import substring_dedup
 from .base import table
-from .bpe import PATTERN, decode, encode
+from .bpe import PATTERN, round_trip
 from .fmindex import contaminated_spans
 from .langid import identify, learn_languages
 from .lines import line_dedup
@@ -85,13 +85,15 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents, model).select("doc_id", held_out(3, 1).alias("held_out"), "lang_pred", "score", "rejected")
 
 
-def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer_path()
-    encoded = encode(table(spark, sf_dir, "documents"), path, PATTERN)
+def tokens(documents: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, decoded_valid) of each text."""
+    out = round_trip(documents, tokenizer_path(), PATTERN)
     digest = F.sha2(F.array_join(F.transform("ids", lambda i: i.cast("string")), " "), 256)
-    marked = encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), "ids")
-    out = decode(marked, path, PATTERN)
-    return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), F.col("valid").alias("decoded_valid"))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.col("valid").alias("decoded_valid"))
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
