@@ -8,9 +8,10 @@ a running polynomial sum, so a pass over text costs a few numpy operations a byt
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +69,21 @@ def confs(spark: SparkSession, **values: str) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """run, giving back the memory of its buffers when a task ends: workers stay while other stages run."""
+
+    def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _powers.clear()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(AttributeError, OSError):  # not glibc
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return outer
+
+
 def doc_key() -> Column:
     """A key for a document row that also tells apart rows with null or repeated doc_id."""
     return F.xxhash64(F.col("doc_id"), F.col("text"))

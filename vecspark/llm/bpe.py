@@ -23,9 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Entries kept by a worker for whole pieces (in each of two generations), and machine states;
-#: beyond these the older generation, or the machine, starts anew.
-PIECES, STATES = 250_000, 400_000
+from .base import released
+
+#: Entries kept by a worker for whole pieces (in each of two generations), machine states and pairs of
+#: tokens whose boundary was judged; beyond these the older generation, the machine or the pairs start anew.
+PIECES, STATES, CHECKED = 150_000, 200_000, 250_000
 #: Pending bytes after which a long piece looks for tokens that are settled.
 LOOKAHEAD = 256
 
@@ -58,8 +60,12 @@ class Transducer:
         self.ranks, self.find, self.plain = ranks, regex.compile(pattern).findall, pattern == PATTERN
         self.token = {i: b for b, i in ranks.items()}
         self.open = {b[:n] for b in ranks for n in range(1, len(b))}  # what may grow into a token
-        self.follows: dict[int, bool] = {}
         self.splits: dict[int, tuple[int, int] | None] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop what was learnt from texts."""
+        self.follows: dict[int, bool] = {}
         #: The tokens of whole pieces, as the bytes of 32-bit integers: small, and quick to join.
         self.pieces: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -111,7 +117,7 @@ class Transducer:
                 limit, y = y + 1, right[0]  # of two equal merges the left one comes first
             else:
                 break
-        if len(self.follows) > 4 * STATES:
+        if len(self.follows) > CHECKED:
             self.follows.clear()
         self.follows[before << 20 | token] = ok
         return ok
@@ -275,7 +281,7 @@ _machines: dict[tuple, Transducer | Decoder] = {}
 
 
 def _machine(kind: type, shared, *more: str):
-    """This worker's encoder or decoder of a vocabulary; it outlives a task."""
+    """This worker's encoder or decoder of a vocabulary; it outlives a task, but its tables of texts don't."""
     ranks = shared.value
     key = (kind, len(ranks), next(iter(ranks)), *more)
     if key not in _machines:
@@ -336,8 +342,9 @@ def encode(documents: DataFrame, path: str, pattern: str) -> DataFrame:
         for batch in batches:
             for lo, hi, ids, bounds in _encoded(machine, _column(batch, "text")):
                 yield pa.RecordBatch.from_arrays([_column(batch, "doc_id").slice(lo, hi - lo), _lists(ids, bounds)], ["doc_id", "ids"])
+        machine.forget()
 
-    return _texts(documents).mapInArrow(run, T.StructType([_ID, _IDS]))
+    return _texts(documents).mapInArrow(released(run), T.StructType([_ID, _IDS]))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -361,7 +368,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(_column(batch, f.name).slice(at, stop - at) for f in others), *back], [*(f.name for f in others), "decoded", "valid"])
                 at = stop
 
-    return encoded.mapInArrow(run, T.StructType([*others, *_BACK]))
+    return encoded.mapInArrow(released(run), T.StructType([*others, *_BACK]))
 
 
 def round_trip(documents: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -377,5 +384,6 @@ def round_trip(documents: DataFrame, path: str, pattern: str) -> DataFrame:
         for batch in batches:
             for lo, hi, ids, bounds in _encoded(encoder, _column(batch, "text")):
                 yield pa.RecordBatch.from_arrays([_column(batch, "doc_id").slice(lo, hi - lo), _lists(ids, bounds), *_decoded(decoder, ids, bounds)], ["doc_id", "ids", "decoded", "valid"])
+        encoder.forget()
 
-    return _texts(documents).mapInArrow(run, T.StructType([_ID, _IDS, *_BACK]))
+    return _texts(documents).mapInArrow(released(run), T.StructType([_ID, _IDS, *_BACK]))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import ALNUM_BYTES, Words, keyed, small_rows, text_chunks
+from .base import ALNUM_BYTES, Words, keyed, released, small_rows, text_chunks
 
 #: Bytes of text in a shard, and of benchmark text broadcast at once; a larger benchmark is
 #: searched block by block of items.
@@ -225,7 +225,7 @@ def _search(docs: DataFrame, rows: list[tuple[object, str | None]], window: int)
                     ["_k", "doc_id", "n_words", "spans", "items"],
                 )
 
-    return docs.mapInArrow(run, _SCHEMA)
+    return docs.mapInArrow(released(run), _SCHEMA)
 
 
 def contaminated_spans(documents: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:

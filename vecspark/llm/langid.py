@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import Words, keyed, text_chunks
+from .base import Words, keyed, released, text_chunks
 
 BUCKETS, DIM, GRAMS = 1 << 15, 16, (2, 3, 4)
 #: About so many labelled documents are read for training, however many there are.
@@ -157,4 +157,4 @@ def identify(documents: DataFrame, model: LanguageModel | None) -> DataFrame:
                 rejected = unknown | (best < (m.threshold if m else 1))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(names.tolist(), pa.string()), pa.array(best), pa.array(rejected)], ["_k", "doc_id", "lang_pred", "score", "rejected"])
 
-    return docs.withColumn("letters", F.col("text").rlike(r"\p{L}")).mapInArrow(run, "_k long, doc_id long, lang_pred string, score double, rejected boolean")
+    return docs.withColumn("letters", F.col("text").rlike(r"\p{L}")).mapInArrow(released(run), "_k long, doc_id long, lang_pred string, score double, rejected boolean")

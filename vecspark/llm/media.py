@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import keyed, materialize
+from .base import keyed, materialize, released
 
 WIDTH = 64
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -189,7 +189,7 @@ def parse_sequences(pages: DataFrame, key: str, html: str = "html") -> DataFrame
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [key, "position", "kind", "text", "digest", "caption"])
                     columns, size = [[] for _ in range(6)], 0
 
-    return pages.select(key, F.col(html).cast("string")).mapInArrow(run, f"`{key}` {field.dataType.simpleString()}, position int, kind string, text string, digest string, caption string")
+    return pages.select(key, F.col(html).cast("string")).mapInArrow(released(run), f"`{key}` {field.dataType.simpleString()}, position int, kind string, text string, digest string, caption string")
 
 
 def media_store(documents: DataFrame) -> DataFrame:
@@ -215,7 +215,7 @@ def media_store(documents: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(media, pa.binary())], ["digest", "media"])
                     digests, media, size = [], [], 0
 
-    return materialize(docs.mapInArrow(run, "digest string, media binary"), "media")
+    return materialize(docs.mapInArrow(released(run), "digest string, media binary"), "media")
 
 
 def read_back(store: DataFrame) -> DataFrame:
@@ -237,7 +237,7 @@ def read_back(store: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
     schema = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return store.select("digest", "media").mapInArrow(run, schema).dropDuplicates(["digest"])
+    return store.select("digest", "media").mapInArrow(released(run), schema).dropDuplicates(["digest"])
 
 
 def resolve(sequences: DataFrame, media: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import _Q, Words, gram_hashes, keyed, materialize, mix, powers, text_chunks
+from .base import _Q, Words, gram_hashes, keyed, materialize, mix, powers, released, text_chunks
 
 GRAM = 8
 #: Different segments of a gram that one shard may hold, and words of a shard.
@@ -78,7 +78,7 @@ def _rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 at = (first - words.first[doc]) << 16 | count << 8 | place
                 yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(own.view(np.int64)), pa.array(keys[lo + doc]), pa.array(at)], ["g", "s", "_k", "at"])
 
-    return docs.select("_k", "text").mapInArrow(run, "g long, s long, _k long, at long")
+    return docs.select("_k", "text").mapInArrow(released(run), "g long, s long, _k long, at long")
 
 
 def _contents(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
@@ -100,7 +100,7 @@ def _contents(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([flat.field("g"), flat.field("s"), flat.field("n"), flat.field("at"), content], ["g", "s", "n", "at", "words"])
 
     joined = docs.join(lists, "_k").select("text", "wanted")
-    return joined.mapInArrow(run, "g long, s long, n long, at long, words array<long>")
+    return joined.mapInArrow(released(run), "g long, s long, n long, at long, words array<long>")
 
 
 def _matched(contents: DataFrame, matcher: Matcher, window: int) -> DataFrame:
@@ -131,7 +131,7 @@ def _matched(contents: DataFrame, matcher: Matcher, window: int) -> DataFrame:
         if segments:
             yield shard(segments)
 
-    return contents.repartition("g").sortWithinPartitions("g").mapInArrow(run, "g long, s long, mask long")
+    return contents.repartition("g").sortWithinPartitions("g").mapInArrow(released(run), "g long, s long, mask long")
 
 
 def _counted(contents: DataFrame, window: int) -> DataFrame:
@@ -150,7 +150,7 @@ def _counted(contents: DataFrame, window: int) -> DataFrame:
             own = [pa.array(batch.column(i).to_numpy()[row]) for i in range(3)]
             yield pa.RecordBatch.from_arrays([*own, pa.array(nth), pa.array(w.view(np.int64))], ["g", "s", "n", "nth", "w"])
 
-    windows = contents.dropDuplicates(["g", "s"]).mapInArrow(run, "g long, s long, n long, nth long, w long")
+    windows = contents.dropDuplicates(["g", "s"]).mapInArrow(released(run), "g long, s long, n long, nth long, w long")
     often = windows.groupBy("g", "w").agg(F.sum("n").alias("total")).where("total > 1").select("g", "w")
     bit = F.expr("shiftleft(1L, cast(nth as int))")
     return windows.join(often, ["g", "w"]).groupBy("g", "s").agg(F.bit_or(bit).alias("mask"))
@@ -214,4 +214,4 @@ def remove_repeats(documents: DataFrame, window: int, gram: int, matcher: Matche
                 removed = np.bincount(words.doc[gone], minlength=hi - lo).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(np.diff(words.first)), pa.array(removed), texts, spans], ["_k", "doc_id", "n_words", "n_removed", "kept", "spans"])
 
-    return docs.join(runs, "_k", "left").mapInArrow(run, "_k long, doc_id long, n_words long, n_removed long, kept string, spans array<struct<first:long,last:long>>")
+    return docs.join(runs, "_k", "left").mapInArrow(released(run), "_k long, doc_id long, n_words long, n_removed long, kept string, spans array<struct<first:long,last:long>>")

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Words, keyed, materialize, text_chunks
+from .base import Words, keyed, materialize, released, text_chunks
 from .components import components
 
 BITS, SEGMENTS = 64, 5
@@ -61,7 +61,7 @@ def simhash(documents: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame
                 fp = fingerprints_of(data, bounds, shingle, seed).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(fp)], ["_k", "doc_id", "fp"])
 
-    return docs.mapInArrow(run, "_k long, doc_id long, fp long")
+    return docs.mapInArrow(released(run), "_k long, doc_id long, fp long")
 
 
 def _segments() -> list[tuple[int, int]]:
@@ -173,7 +173,7 @@ def fingerprint_links(fps: DataFrame, budget: int = 4, block: int = BLOCK) -> Da
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(fp[a]), pa.array(fp[b])], ["u", "v"])
 
-    return rows.repartition("g").sortWithinPartitions("g").mapInArrow(run, "u long, v long")
+    return rows.repartition("g").sortWithinPartitions("g").mapInArrow(released(run), "u long, v long")
 
 
 def simhash_components(documents: DataFrame, shingle: int = 4, seed: int = 42, budget: int = 4) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import ALNUM_BYTES, Words, keyed, mix, text_chunks
+from .base import ALNUM_BYTES, Words, keyed, mix, released, text_chunks
 
 #: About so many labelled documents are read for training, however many there are.
 SAMPLE_ROWS = 8000
@@ -165,4 +165,4 @@ def toxicity(documents: DataFrame, model: ToxicityModel) -> DataFrame:
             for lo, hi, data, bounds in text_chunks(batch):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(shared.value.scores(data, bounds))], ["_k", "doc_id", "score"])
 
-    return docs.mapInArrow(run, "_k long, doc_id long, score double")
+    return docs.mapInArrow(released(run), "_k long, doc_id long, score double")
