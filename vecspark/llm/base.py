@@ -69,10 +69,19 @@ def confs(spark: SparkSession, **values: str) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
-    """run, giving back the memory of its buffers when a task ends: workers stay while other stages run."""
+#: What this worker learnt for an operator's next task.
+kept: dict[tuple, object] = {}
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: bool = False) -> Callable:
+    """run, giving back the memory of its buffers when a task ends: workers stay while other stages run.
+
+    An operator that keeps nothing itself also drops what another one kept in this worker.
+    """
 
     def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            kept.clear()
         try:
             yield from run(batches)
         finally:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import released
+from .base import kept, released
 
 #: Entries kept by a worker for whole pieces (in each of two generations), machine states and pairs of
 #: tokens whose boundary was judged; beyond these the older generation, the machine or the pairs start anew.
@@ -61,10 +61,6 @@ class Transducer:
         self.token = {i: b for b, i in ranks.items()}
         self.open = {b[:n] for b in ranks for n in range(1, len(b))}  # what may grow into a token
         self.splits: dict[int, tuple[int, int] | None] = {}
-        self.forget()
-
-    def forget(self) -> None:
-        """Drop what was learnt from texts."""
         self.follows: dict[int, bool] = {}
         #: The tokens of whole pieces, as the bytes of 32-bit integers: small, and quick to join.
         self.pieces: dict[str, bytes] = {}
@@ -277,16 +273,13 @@ class Decoder:
         return machine.complete
 
 
-_machines: dict[tuple, Transducer | Decoder] = {}
-
-
 def _machine(kind: type, shared, *more: str):
-    """This worker's encoder or decoder of a vocabulary; it outlives a task, but its tables of texts don't."""
+    """This worker's encoder or decoder of a vocabulary; it outlives a task, until another operator runs here."""
     ranks = shared.value
     key = (kind, len(ranks), next(iter(ranks)), *more)
-    if key not in _machines:
-        _machines[key] = kind(ranks, *more)
-    return _machines[key]
+    if key not in kept:
+        kept[key] = kind(ranks, *more)
+    return kept[key]
 
 
 def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -342,9 +335,8 @@ def encode(documents: DataFrame, path: str, pattern: str) -> DataFrame:
         for batch in batches:
             for lo, hi, ids, bounds in _encoded(machine, _column(batch, "text")):
                 yield pa.RecordBatch.from_arrays([_column(batch, "doc_id").slice(lo, hi - lo), _lists(ids, bounds)], ["doc_id", "ids"])
-        machine.forget()
 
-    return _texts(documents).mapInArrow(released(run), T.StructType([_ID, _IDS]))
+    return _texts(documents).mapInArrow(released(run, keeps=True), T.StructType([_ID, _IDS]))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -368,7 +360,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(_column(batch, f.name).slice(at, stop - at) for f in others), *back], [*(f.name for f in others), "decoded", "valid"])
                 at = stop
 
-    return encoded.mapInArrow(released(run), T.StructType([*others, *_BACK]))
+    return encoded.mapInArrow(released(run, keeps=True), T.StructType([*others, *_BACK]))
 
 
 def round_trip(documents: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -384,6 +376,5 @@ def round_trip(documents: DataFrame, path: str, pattern: str) -> DataFrame:
         for batch in batches:
             for lo, hi, ids, bounds in _encoded(encoder, _column(batch, "text")):
                 yield pa.RecordBatch.from_arrays([_column(batch, "doc_id").slice(lo, hi - lo), _lists(ids, bounds), *_decoded(decoder, ids, bounds)], ["doc_id", "ids", "decoded", "valid"])
-        encoder.forget()
 
-    return _texts(documents).mapInArrow(released(run), T.StructType([_ID, _IDS, *_BACK]))
+    return _texts(documents).mapInArrow(released(run, keeps=True), T.StructType([_ID, _IDS, *_BACK]))
