@@ -159,6 +159,18 @@ def test_decontamination_by_blocks(spark, monkeypatch):
     assert [(a, b, sum(y - x + 1 for x, y in c), d) for a, b, c, d in look()] == [(a, b, sum(y - x + 1 for x, y in c), d) for a, b, c, d in whole]
 
 
+def test_decontamination_by_blocks_keeps_repeated_rows(spark, monkeypatch):
+    from vecspark.llm import fmindex
+
+    data = awkward() + awkward()[15:16] * 3 + [(4, None), (5, "")]
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    look = lambda: collections.Counter((r.doc_id, r.n_words, tuple(map(tuple, r.spans)), tuple(sorted(r["items"]))) for r in contaminated_spans(frame(spark, data), bench).collect())
+    whole = look()
+    assert whole.total() == len(data) and max(n for (_, _, spans, _), n in whole.items() if spans) == 4
+    monkeypatch.setattr(fmindex, "BLOCK_ROWS", 4)
+    assert look() == whole
+
+
 def brute_fingerprint(text):
     w = SPACES.findall((text or "").translate(UPPER))
     if not w:

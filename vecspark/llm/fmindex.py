@@ -245,7 +245,10 @@ def contaminated_spans(documents: DataFrame, benchmark: DataFrame, window: int =
     blocks = 1 + max(n // (BLOCK_ROWS // 2), total // (BLOCK_BYTES // 2))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
     parts = [_search(docs, items.where(block == b).collect(), window) for b in range(blocks)]
-    found = reduce(DataFrame.unionByName, parts).groupBy("_k", "doc_id", "n_words")
-    found = found.agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    # A key stands for every row of the same doc_id and text: hits are merged per key, and each row takes its key's.
+    found = reduce(DataFrame.unionByName, parts).where(F.size("spans") > 0).groupBy("_k")
+    found = found.agg(F.array_sort(F.flatten(F.collect_set("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
     step = "aggregate(spans, cast(array() as array<struct<first:long,last:long>>), (a, s) -> if(size(a) > 0 and element_at(a, -1).last + 1 >= s.first, concat(slice(a, 1, size(a) - 1), array(named_struct('first', element_at(a, -1).first, 'last', greatest(element_at(a, -1).last, s.last)))), concat(a, array(s))))"
-    return found.withColumn("spans", F.expr(step))
+    each = _search(docs, [], window).select("_k", "doc_id", "n_words").join(found.withColumn("spans", F.expr(step)), "_k", "left")
+    none = {"spans": "array<struct<first:long,last:long>>", "items": "array<string>"}
+    return each.select("_k", "doc_id", "n_words", *(F.coalesce(c, F.array().cast(t)).alias(c) for c, t in none.items()))
