@@ -59,6 +59,20 @@ def test_exact_and_graph_search(spark):
     assert S.exact_topk(qs, base.limit(0), 5).count() == 0
 
 
+def test_bfs_query_reaches_all_levels(spark, tmp_path):
+    from vecspark.plans import QUERIES
+
+    rows = [(i, [float(i), 0.0], 0) for i in range(90)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    ahead = {i: sorted((j for j in range(90) if j != i), key=lambda j: (abs(i - j), j))[:8] for i in range(90)}
+    level, frontier = {0: 0}, [0]
+    while frontier:
+        frontier = sorted({j for i in frontier for j in ahead[i]} - level.keys())
+        level |= dict.fromkeys(frontier, max(level.values()) + 1)
+    got = {r.level: r.n for r in QUERIES["a35_g31_bfs_levels"](spark, str(tmp_path)).collect()}
+    assert max(got) > 7 and got == {n: list(level.values()).count(n) for n in set(level.values())}
+
+
 def test_noisy_or_and_importance(spark):
     e = spark.createDataFrame([(1, 5, 0.5), (1, 5, 0.5), (2, 5, 1.0), (1, 6, 0.0)], "source_id long, witness_id long, credit double")
     s = R.noisy_or(e)
