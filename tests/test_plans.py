@@ -101,6 +101,29 @@ def test_partitions(spark):
     assert R.modularity(triangles, label).first()[0] == pytest.approx(0.5)
 
 
+def _modularity(pairs, own):
+    m, inside, total = sum(w for _, _, w in pairs), {}, {}
+    for a, b, w in pairs:
+        inside[own[a]] = inside.get(own[a], 0) + w * (own[a] == own[b])
+        for x in (a, b):
+            total[own[x]] = total.get(own[x], 0) + w
+    return sum(inside.values()) / m - sum((t / (2 * m)) ** 2 for t in total.values())
+
+
+def test_louvain_query_has_no_gain_left(spark, tmp_path):
+    from vecspark.plans import QUERIES
+
+    x = np.random.default_rng(5).normal(size=(160, 4))
+    spark.createDataFrame([(i, v, 0) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    x = x.astype(np.float32).astype(float)
+    near = {i: [j for j in sorted(range(160), key=lambda j: (((x[i] - x[j]) ** 2).sum(), j)) if j != i][:8] for i in range(160)}
+    pairs = [(a, b, (b in near[a]) + (a in near[b])) for a in range(160) for b in range(a + 1, 160) if b in near[a] or a in near[b]]
+    own = {r.id: r.community for r in QUERIES["a27_louvain_communities"](spark, str(tmp_path)).collect()}
+    assert own.keys() == set(range(160)) and all(own[c] == c == min(i for i in own if own[i] == c) for c in own.values())
+    q, groups = _modularity(pairs, own), set(own.values())
+    assert q > 0.4 and all(_modularity(pairs, {i: b if c == a else c for i, c in own.items()}) <= q + 1e-9 for a in groups for b in groups if a < b)
+
+
 def test_changes_and_sources(spark, tmp_path):
     log = spark.createDataFrame([(7, 1, "insert"), (7, 2, "delete"), (8, 3, "insert"), (0, 4, "insert"), (None, 5, "insert")], "tag long, seq long, op string")
     assert [r.tag for r in R.live_rows(log).collect()] == [8]

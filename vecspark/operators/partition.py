@@ -135,6 +135,68 @@ def label_communities(pairs: DataFrame, rounds: int = 10) -> DataFrame:
     return label.join(least, "c").select("id", "community")
 
 
+def louvain_groups(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+    """The community of nodes 0 to n - 1 by Louvain, over undirected pairs (u = v: a loop).
+
+    Nodes move one after the other to the neighbouring community with the largest modularity gain (ties: the
+    smaller) until none gains; communities then become the nodes of a coarser graph, until none of these moves.
+    """
+    group = np.arange(n)
+    while True:
+        degree = np.bincount(u, w, n) + np.bincount(v, w, n)
+        m2 = degree.sum()
+        real = u != v
+        ends, other, weight = np.concatenate((u[real], v[real])), np.concatenate((v[real], u[real])), np.concatenate((w[real], w[real]))
+        order = np.argsort(ends, kind="stable")
+        first = np.searchsorted(ends[order], np.arange(n + 1)).tolist()
+        other, weight = other[order].tolist(), weight[order].tolist()
+        own, total, moved = list(range(n)), degree.tolist(), True
+        k = degree.tolist()
+        any_move = False
+        while moved:
+            moved = False
+            for i in range(n):
+                near: dict[int, float] = {}
+                for j in range(first[i], first[i + 1]):
+                    c = own[other[j]]
+                    near[c] = near.get(c, 0.0) + weight[j]
+                d = own[i]
+                stay = near.get(d, 0.0) - k[i] * (total[d] - k[i]) / m2
+                best, most = d, 1e-9 * max(1.0, k[i])
+                for c in sorted(near):
+                    gain = near[c] - k[i] * total[c] / m2 - stay if c != d else 0.0
+                    if gain > most:
+                        best, most = c, gain
+                if best != d:
+                    total[d] -= k[i]
+                    total[best] += k[i]
+                    own[i] = best
+                    moved = any_move = True
+        if not any_move:
+            return group
+        _, own = np.unique(own, return_inverse=True)
+        group = own[group]
+        n = int(own.max()) + 1
+        lo, hi = np.minimum(own[u], own[v]), np.maximum(own[u], own[v])
+        pair, at = np.unique(lo * n + hi, return_inverse=True)
+        u, v, w = pair // n, pair % n, np.bincount(at, w)
+
+
+def louvain_communities(pairs: DataFrame) -> DataFrame:
+    """(id, community) of undirected (a, b, weight) by Louvain; a community is named by its least node.
+
+    Nodes move in order, each by what the ones before it did: one task holds all pairs.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["a", "b"])
+        ids, at = np.unique(np.concatenate((pdf["a"], pdf["b"])), return_inverse=True)
+        own = louvain_groups(at[: len(pdf)], at[len(pdf) :], pdf["weight"].to_numpy(np.float64), len(ids))
+        return pd.DataFrame({"id": ids, "community": pd.Series(ids).groupby(own).transform("min")})
+
+    return pairs.select("a", "b", "weight").groupBy(F.lit("all")).applyInPandas(run, "id long, community long")
+
+
 def spherical_kmeans(base: DataFrame, key: str, k: int, rounds: int = 8) -> DataFrame:
     """(key, bin, n, cosine): k unit directions in each bounded group, by mean cosine; empty ones stay."""
 

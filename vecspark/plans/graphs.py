@@ -251,7 +251,7 @@ def recursive(spark, d):
 
 @add("a27_louvain_communities")
 def louvain(spark, d):
-    return P.label_communities(R.undirected_weights(graph(spark, d)))
+    return P.louvain_communities(R.undirected_weights(graph(spark, d)))
 
 
 @add("a11_spherical_kmeans")
