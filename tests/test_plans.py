@@ -124,6 +124,26 @@ def test_louvain_query_has_no_gain_left(spark, tmp_path):
     assert q > 0.4 and all(_modularity(pairs, {i: b if c == a else c for i, c in own.items()}) <= q + 1e-9 for a in groups for b in groups if a < b)
 
 
+def test_gateways_apart_in_direction(spark):
+    near = [(0, 3, [1.0, 0.0]), (1, 9, [0.9, 0.1 ** 0.5]), (2, 5, [0.0, 1.0]), (3, 8, None), (4, 2, [-1.0, 0.0]), (5, 7, [0.0, 1.0])]
+    rows = [(1, 2, o, 100 + t, t, v) for o, t, v in near] + [(2, 1, 0, 4, 6, None), (2, 1, 1, 4, 1, [1.0, 0.0])]
+    c = spark.createDataFrame(rows, "source_community long, target_community long, ordinal long, source_node long, target_node long, direction array<double>")
+    got = {}
+    for r in R.select_gateways(c, 4).orderBy("source_community", "ordinal").collect():
+        assert r.ordinal == len(got.setdefault(r.source_community, [])) and r.source_node in (4, 100 + r.target_node)
+        got[r.source_community].append(r.target_node)
+    assert got == {1: [3, 2, 5, 9], 2: [6, 1]}
+
+
+def test_gateway_selection_query(spark):
+    from vecspark.plans import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    n = {(r[0], r[1]): r[2] for r in QUERIES["a21_j20_cross_edges"](spark, d).select("source_community", "target_community", "targets").collect()}
+    got = QUERIES["w6_gateway_selection"](spark, d).groupBy("source_community", "target_community").agg(F.countDistinct("target_node"), F.max("ordinal")).collect()
+    assert {(r[0], r[1]): (r[2], r[3] + 1) for r in got} == {k: (min(8, v), min(8, v)) for k, v in n.items()}
+
+
 def test_changes_and_sources(spark, tmp_path):
     log = spark.createDataFrame([(7, 1, "insert"), (7, 2, "delete"), (8, 3, "insert"), (0, 4, "insert"), (None, 5, "insert")], "tag long, seq long, op string")
     assert [r.tag for r in R.live_rows(log).collect()] == [8]

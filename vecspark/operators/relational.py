@@ -1,11 +1,13 @@
 """Aggregations, rankings and set operations over vectors, graphs, cells and traces.
 
-All are DataFrame in, DataFrame out and stay in the JVM. Edges are (src, pos, dst); traces are
+All are DataFrame in, DataFrame out and stay in the JVM, but for greedy choices in bounded groups. Edges are (src, pos, dst); traces are
 (query_id, hop, node_id). Orders always end in an id.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -145,3 +147,31 @@ def gateways(cross: DataFrame, importance: DataFrame, shortlist: int) -> DataFra
     t = t.join(importance.select(F.col("id").alias("target_node"), "importance"), "target_node", "left").na.fill(0.0, ["importance"])
     order = Window.partitionBy("source_community", "target_community").orderBy(F.desc("importance"), "target_node")
     return t.withColumn("ordinal", (F.row_number().over(order) - 1).cast("long")).where(F.col("ordinal") < shortlist)
+
+
+def select_gateways(candidates: DataFrame, count: int) -> DataFrame:
+    """(source_community, target_community, ordinal, source_node, target_node): gateways apart in direction.
+
+    candidates: gateways() of a shortlist, and a column direction (null where there is none). The most
+    important comes first; each next one maximises 1 - its largest dot product with those chosen (0 if it has
+    no direction to compare), ties by (importance, id).
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ordinal").reset_index(drop=True)  # that is by (importance, id): the first of a tie wins
+        unit = [None if x is None else np.asarray(x, np.float64) for x in pdf["direction"]]
+        chosen = [0]
+        while len(chosen) < min(count, len(pdf)):
+            best, most = -1, -1.0
+            for i in range(len(pdf)):
+                if i not in chosen:
+                    dots = [min(1.0, max(-1.0, float(unit[i] @ unit[j]))) for j in chosen if unit[i] is not None and unit[j] is not None]
+                    apart = 1 - max(dots) if dots else 0.0
+                    if apart > most:
+                        best, most = i, apart
+            chosen.append(best)
+        out = pdf.loc[chosen, ["source_community", "target_community", "source_node", "target_node"]]
+        return out.assign(ordinal=range(len(chosen)))[["source_community", "target_community", "ordinal", "source_node", "target_node"]]
+
+    pair = ["source_community", "target_community"]
+    return candidates.select(*pair, "ordinal", "source_node", "target_node", "direction").groupBy(*pair).applyInPandas(run, "source_community long, target_community long, ordinal long, source_node long, target_node long")

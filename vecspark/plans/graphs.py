@@ -119,6 +119,16 @@ def gateways(spark, d):
     return R.gateways(cross(spark, d), i, 4).select("source_community", "target_community", "ordinal", "source_node", "target_node")
 
 
+@add("w6_gateway_selection")
+def gateway_selection(spark, d):
+    """Of each pair's 32 most important targets 8 gateways apart in direction, seen from the target community's centroid."""
+    e = base(spark, d)
+    i = cut(importance(spark, d).select("id", F.round("raw", 9).alias("importance")))
+    pole = R.centroid(e, "label").select(F.col("label").alias("target_community"), F.col("centroid").alias("pole"))
+    g = R.gateways(cross(spark, d), i, 32).join(pole, "target_community").join(e.select(F.col("id").alias("target_node"), "vec"), "target_node")
+    return R.select_gateways(g.withColumn("direction", V.direction(F.col("vec"), F.col("pole"))), 8)
+
+
 @add("g15_canonical_communities", f"WITH {E_SQL} SELECT label, dense_rank() OVER (ORDER BY min(id)) - 1 AS community FROM E GROUP BY label")
 def canonical(spark, d):
     return base(spark, d).groupBy("label").agg(F.min("id").alias("m")).select("label", (F.dense_rank().over(Window.orderBy("m")) - 1).cast("long").alias("community"))
