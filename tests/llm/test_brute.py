@@ -153,9 +153,11 @@ def test_decontamination_by_blocks(spark, monkeypatch):
 
     data = rows(spark, "awkward")
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
-    look = lambda: sorted((str(r.doc_id), r.n_words, [tuple(s) for s in r.spans], sorted(r["items"])) for r in contaminated_spans(frame(spark, data), bench).distinct().collect())
+    look = lambda: sorted((str(r.doc_id), r.n_words, [tuple(s) for s in r.spans], sorted(r["items"])) for r in contaminated_spans(frame(spark, data), bench).collect())
     whole = look()
-    monkeypatch.setattr(fmindex, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(fmindex, "PIECE", 2)
+    assert look() == whole
+    monkeypatch.setattr(fmindex, "BLOCK_WORDS", 9)
     assert [(a, b, sum(y - x + 1 for x, y in c), d) for a, b, c, d in look()] == [(a, b, sum(y - x + 1 for x, y in c), d) for a, b, c, d in whole]
 
 
@@ -167,7 +169,7 @@ def test_decontamination_by_blocks_keeps_repeated_rows(spark, monkeypatch):
     look = lambda: collections.Counter((r.doc_id, r.n_words, tuple(map(tuple, r.spans)), tuple(sorted(r["items"]))) for r in contaminated_spans(frame(spark, data), bench).collect())
     whole = look()
     assert whole.total() == len(data) and max(n for (_, _, spans, _), n in whole.items() if spans) == 4
-    monkeypatch.setattr(fmindex, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(fmindex, "BLOCK_WORDS", 9)
     assert look() == whole
 
 

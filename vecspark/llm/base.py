@@ -26,32 +26,66 @@ SPACE_BYTES = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 _FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _local_dir: list[str] = []
+#: Lists that collect the paths of tables written while they are open (see recorded).
+_recorders: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or a temporary one where unset (tests)."""
+    """The folder every executor sees: spark.checkpoint.dir. Where it is unset, a temporary folder if master is
+    local (tests), and an error on a cluster, whose executors would each write their own.
+    """
     there = spark.conf.get("spark.checkpoint.dir", None)
     if there:
         return there.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _local_dir:
         _local_dir.append("file://" + tempfile.mkdtemp(prefix="vecspark-"))
     return _local_dir[0]
 
 
+def _path(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+@contextlib.contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths of the tables that materialize writes in a block, for discard once they are read."""
+    made: list[str] = []
+    _recorders.append(made)
+    try:
+        yield made
+    finally:
+        _recorders.remove(made)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that nothing reads any more."""
+    for path in paths:
+        where, files = _path(spark, path)
+        files.delete(where, True)
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
     Cuts the lineage on storage that survives the loss of executors, and lets Spark delete the
-    shuffle files behind the write as soon as it ends.
+    shuffle files behind the write as soon as it ends. The table goes when the driver's JVM ends, or
+    sooner by recorded and discard.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for made in _recorders:
+        made.append(path)
     before = spark.conf.get(_FREE_SHUFFLES, "false")
     spark.conf.set(_FREE_SHUFFLES, "true")
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_FREE_SHUFFLES, before)
+    where, files = _path(spark, path)
+    files.deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -232,7 +266,21 @@ def arrow_schema(fields: list[tuple[str, pa.DataType]]) -> pa.Schema:
     return pa.schema([pa.field(n, t) for n, t in fields])
 
 
-def small_rows(df: DataFrame, limit_rows: int, limit_bytes: int, size: Column) -> list | None:
-    """The rows of df, or None when they exceed the limits; the size is checked before collecting."""
-    n, total = df.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
-    return df.collect() if n <= limit_rows and total <= limit_bytes else None
+def bounded_sample(rows: DataFrame, limit_rows: int, limit_bytes: int, longest: int) -> list:
+    """Rows of (h long, text string, ...), a sample for fitting a model: those with the smallest h.
+
+    Rows with equal h are one row. Only texts of at most `longest` bytes take part. About limit_rows and at
+    most twice limit_bytes and limit_rows come to the driver: rows and bytes are counted before they are
+    collected, and the threshold on h falls until they fit. Whole texts are returned, in the order of h.
+    """
+    rows = rows.withColumn("_size", F.octet_length("text")).where(F.col("_size") <= longest)
+    n, total = rows.agg(F.count("*"), F.coalesce(F.sum("_size"), F.lit(0))).first()
+    if not n:
+        return []
+    share = min(1.0, limit_rows / n, limit_bytes / max(1, total))
+    while True:
+        pick = rows if share >= 1 else rows.where(F.col("h") < F.lit(int(-(1 << 63) + (1 << 64) * share)))
+        n, total = pick.groupBy("h").agg(F.max("_size").alias("s")).agg(F.count("*"), F.coalesce(F.sum("s"), F.lit(0))).first()
+        if n <= 2 * limit_rows and total <= 2 * limit_bytes:
+            return sorted(pick.dropDuplicates(["h"]).drop("_size").collect(), key=lambda r: r.h)
+        share = min(share, 1.0) / 2

@@ -17,36 +17,59 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import ALNUM_BYTES, Words, keyed, released, small_rows, text_chunks
+from .base import _Q, ALNUM_BYTES, Words, keyed, materialize, mix, powers, released, text_chunks
 
-#: Bytes of text in a shard, and of benchmark text broadcast at once; a larger benchmark is
-#: searched block by block of items.
-SHARD_BYTES, BLOCK_BYTES, BLOCK_ROWS = 1 << 20, 32 << 20, 500_000
+#: Bytes of text in a shard.
+SHARD_BYTES = 1 << 20
+#: Benchmark words searched for at once (about 30 bytes each where they are broadcast; more are searched block by
+#: block), and windows of one piece of an item: a longer item is cut, so no row and no block outgrows its bound.
+BLOCK_WORDS, PIECE = 1 << 20, 4096
 SAMPLE = 8
 
 
 class Phrases:
-    """The distinct windows of benchmark items, as symbol sequences, and the items of each."""
-
-    def __init__(self, rows: list[tuple[object, str | None]], window: int):
-        texts = [(t or "").encode() for _, t in rows]
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        bounds = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
-        words = Words(data, bounds, ALNUM_BYTES, lower=True)
-        self.vocabulary, symbols = np.unique(words.hashes(), return_inverse=True)
-        found: dict[tuple[int, ...], set[int]] = {}
-        for d in range(words.n_docs):
-            own = (symbols[words.first[d] : words.first[d + 1]] + 2).tolist()
-            for i in range(max(1, len(own) - window + 1) if own else 0):
-                found.setdefault(tuple(own[i : i + window]), set()).add(d)
-        self.length = np.array([len(p) for p in found], np.int64)
-        self.symbols = np.zeros((len(found), window), np.int64)
-        for i, p in enumerate(found):
-            self.symbols[i, : len(p)] = p
-        items = [sorted(x) for x in found.values()]
-        self.item_at = np.concatenate(([0], np.cumsum([len(x) for x in items]))).astype(np.int64)
-        self.items = np.array([d for x in items for d in x], np.int64)
-        self.ids = [r[0] for r in rows]
+    """The distinct windows of pieces of benchmark items, and the items of each.
+
+    A window is a place and a length in the symbols of all pieces, so overlapping windows share their words.
+    """
+
+    def __init__(self, items: list[str | None], h: np.ndarray, bounds: np.ndarray, window: int):
+        self.vocabulary, symbols = np.unique(h, return_inverse=True)
+        self.symbols, self.window = (symbols + 2).astype(np.int32), window
+        sizes = np.diff(bounds)
+        counts = np.where(sizes >= window, sizes - window + 1, np.minimum(sizes, 1))
+        at = np.repeat(bounds[:-1] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+        length = np.repeat(np.minimum(sizes, window), counts)
+        one, which = self._distinct(h, at, length)
+        self.at, self.length = at[one].astype(np.int32), length[one].astype(np.int64)
+        self.ids = sorted({i for i in items if i is not None})
+        number = {i: n for n, i in enumerate(self.ids)}
+        item = np.array([number.get(i, -1) for i in items], np.int64).repeat(counts)
+        pairs = np.unique(which[item >= 0] * max(1, len(self.ids)) + item[item >= 0])
+        self.item_at = np.append(0, np.cumsum(np.bincount(pairs // max(1, len(self.ids)), minlength=len(one)))).astype(np.int64)
+        self.items = pairs % max(1, len(self.ids))
+
+    def _distinct(self, h: np.ndarray, at: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One place of each distinct window, and each place's window."""
+        p, inverse = powers(_Q, len(h) + 1)
+        total = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(h * p[: len(h)], out=total[1:])
+        key = mix((total[at + length] - total[at]) * inverse[at] + length.astype(np.uint64))
+        _, one, which = np.unique(key, return_index=True, return_inverse=True)
+        for i in range(self.window):  # by hash, then word by word
+            rows = np.flatnonzero(length > i)
+            if (self.symbols[at[rows] + i] != self.symbols[at[one[which[rows]]] + i]).any():
+                words = np.zeros((len(at), self.window), np.int32)
+                for j in range(self.window):
+                    more = length > j
+                    words[more, j] = self.symbols[at[more] + j]
+                _, one, which = np.unique(words, axis=0, return_index=True, return_inverse=True)
+                break
+        return one, which.ravel()
+
+    def back(self, which: np.ndarray, step: int) -> np.ndarray:
+        """The symbol `step` places before the last one of windows."""
+        return self.symbols[self.at[which] + self.length[which] - 1 - step].astype(np.int64)
 
 
 class WaveletMatrix:
@@ -120,10 +143,10 @@ class FMIndex:
     def search(self, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(phrase, first row, past the last row) of the phrases that occur."""
         which = np.arange(len(phrases.length))
-        last = phrases.symbols[which, phrases.length - 1]
+        last = phrases.back(which, 0)
         lo, hi = self.before[last], self.before[last + 1]
         done = []
-        for step in range(1, phrases.symbols.shape[1] + 1):
+        for step in range(1, phrases.window + 1):
             live = hi > lo
             which, lo, hi = which[live], lo[live], hi[live]
             ended = phrases.length[which] == step
@@ -131,7 +154,7 @@ class FMIndex:
             which, lo, hi = which[~ended], lo[~ended], hi[~ended]
             if not len(which):
                 break
-            symbol = phrases.symbols[which, phrases.length[which] - 1 - step]
+            symbol = phrases.back(which, step)
             lo, hi = self.before[symbol] + self.tree.rank(symbol, lo), self.before[symbol] + self.tree.rank(symbol, hi)
         return tuple(np.concatenate(x) for x in zip(*done, strict=True)) if done else (which, lo, hi)
 
@@ -184,8 +207,39 @@ def search_shard(words: Words, phrases: Phrases) -> tuple[np.ndarray, np.ndarray
 _SCHEMA = "_k long, doc_id long, n_words long, spans array<struct<first:long,last:long>>, items array<string>"
 
 
-def _search(docs: DataFrame, rows: list[tuple[object, str | None]], window: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(Phrases(rows, window))
+def _pieces(benchmark: DataFrame, window: int) -> DataFrame:
+    """(item, words): the word hashes of items, long ones cut where windows begin; equal rows are one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0)
+            for lo, _, data, bounds in text_chunks(batch):
+                words = Words(data, bounds, ALNUM_BYTES, lower=True)
+                h = words.hashes().view(np.int64)
+                sizes = np.diff(words.first)
+                cuts = np.where(sizes > 0, np.maximum(1, -(-(sizes - window + 1) // PIECE)), 0)
+                item = np.repeat(np.arange(words.n_docs), cuts)
+                nth = np.arange(len(item)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+                first = words.first[item] + nth * PIECE
+                stop = np.minimum(first + PIECE + window - 1, words.first[item + 1])
+                size = stop - first
+                take = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(h[take]))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(lo + item)), lists], ["item", "words"])
+
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(released(run), "item string, words array<long>").distinct()
+
+
+def _phrases(pieces: DataFrame, window: int) -> Phrases:
+    got = pieces.toArrow()
+    lists = got["words"].combine_chunks()
+    bounds = np.append(0, np.cumsum(np.array(lists.value_lengths(), np.int64)))
+    return Phrases(got["item"].to_pylist(), lists.flatten().to_numpy().view(np.uint64), bounds, window)
+
+
+def _search(docs: DataFrame, phrases: Phrases) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(phrases)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = shared.value
@@ -210,10 +264,9 @@ def _search(docs: DataFrame, rows: list[tuple[object, str | None]], window: int)
                 n_items = phrases.item_at[which + 1] - phrases.item_at[which]
                 each = np.repeat(phrases.item_at[which] - (np.cumsum(n_items) - n_items), n_items) + np.arange(int(n_items.sum()))
                 pairs = np.unique(np.repeat(words.doc[at], n_items) * len(phrases.ids) + phrases.items[each]) if len(which) else np.empty(0, np.int64)
-                named = [(d, phrases.ids[i]) for d, i in zip(*(x.tolist() for x in np.divmod(pairs, max(1, len(phrases.ids)))), strict=True) if phrases.ids[i] is not None]
                 items = [[] for _ in range(words.n_docs)]
-                for d, i in dict.fromkeys(named):
-                    items[d].append(str(i))
+                for d, i in zip(*(x.tolist() for x in np.divmod(pairs, max(1, len(phrases.ids)))), strict=True):
+                    items[d].append(phrases.ids[i])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, hi - lo),
@@ -234,21 +287,22 @@ def contaminated_spans(documents: DataFrame, benchmark: DataFrame, window: int =
     A window is `window` consecutive words of an item; a shorter item with words is one window. spans
     are (first, last) word numbers from 0. Null texts have no words. Items with a null item_id still
     mark spans, but can't be listed; a repeated item_id is listed once. An empty benchmark marks none.
+    Every document row gives one row, repeated ones too, whatever the size of the benchmark.
     """
     docs = keyed(documents)
-    items = benchmark.select(F.col("item_id"), F.col("text").cast("string").alias("text"))
-    size = F.coalesce(F.octet_length("text"), F.lit(0))
-    rows = small_rows(items, BLOCK_ROWS, BLOCK_BYTES, size)
-    if rows is not None:
-        return _search(docs, rows, window)
-    n, total = items.agg(F.count("*"), F.sum(size)).first()
-    blocks = 1 + max(n // (BLOCK_ROWS // 2), total // (BLOCK_BYTES // 2))
-    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    parts = [_search(docs, items.where(block == b).collect(), window) for b in range(blocks)]
+    pieces = materialize(_pieces(benchmark, window), "pieces")
+    words = pieces.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
+    blocks = max(1, -(-words // BLOCK_WORDS))
+    if blocks == 1:
+        return _search(docs, _phrases(pieces, window))
+    block, parts = F.pmod(F.xxhash64("item", "words"), F.lit(blocks)), []
+    for b in range(blocks):  # a block's windows leave the driver before the next one comes
+        hits = _search(docs, _phrases(pieces.where(block == b), window)).where(F.size("spans") > 0)
+        parts.append(materialize(hits.select("_k", "spans", "items").dropDuplicates(["_k"]), "hits"))
     # A key stands for every row of the same doc_id and text: hits are merged per key, and each row takes its key's.
-    found = reduce(DataFrame.unionByName, parts).where(F.size("spans") > 0).groupBy("_k")
+    found = reduce(DataFrame.unionByName, parts).groupBy("_k")
     found = found.agg(F.array_sort(F.flatten(F.collect_set("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
     step = "aggregate(spans, cast(array() as array<struct<first:long,last:long>>), (a, s) -> if(size(a) > 0 and element_at(a, -1).last + 1 >= s.first, concat(slice(a, 1, size(a) - 1), array(named_struct('first', element_at(a, -1).first, 'last', greatest(element_at(a, -1).last, s.last)))), concat(a, array(s))))"
-    each = _search(docs, [], window).select("_k", "doc_id", "n_words").join(found.withColumn("spans", F.expr(step)), "_k", "left")
+    each = _search(docs, _phrases(pieces.limit(0), window)).select("_k", "doc_id", "n_words").join(found.withColumn("spans", F.expr(step)), "_k", "left")
     none = {"spans": "array<struct<first:long,last:long>>", "items": "array<string>"}
     return each.select("_k", "doc_id", "n_words", *(F.coalesce(c, F.array().cast(t)).alias(c) for c, t in none.items()))

@@ -96,6 +96,20 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens(table(spark, sf_dir, "documents"))
 
 
+def _passages_sql(window: int) -> str:
+    """Words of windows whose word sequence also starts elsewhere, by the windows as strings."""
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT r, unnest(range(1, len(w) - {window} + 2)) AS i FROM d WHERE len(w) >= {window}),
+g AS (SELECT s.r, i, array_to_string(w[i : i + {window} - 1], ' ') AS g FROM s JOIN d ON s.r = d.r),
+twice AS (SELECT g FROM g GROUP BY g HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + {window})) AS pos FROM g SEMI JOIN twice ON g.g = twice.g),
+words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d),
+marked AS (SELECT words.r, word, words.pos, gone.r IS NOT NULL AS out, lag(gone.r IS NOT NULL, 1, false) OVER (PARTITION BY words.r ORDER BY words.pos) AS before FROM words LEFT JOIN gone ON words.r = gone.r AND words.pos = gone.pos),
+kept AS (SELECT r, count(*) FILTER (out) AS n_removed, count(*) FILTER (out AND NOT before) AS n_spans, coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (NOT out), '') AS kept FROM marked GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256, coalesce(n_spans, 0)::BIGINT AS n_spans FROM d LEFT JOIN kept ON d.r = kept.r"""
+
+
 QUERIES = {
     "op1_warc_fixity": op1_warc_fixity,
     "op2_substring_dedup": op2_substring_dedup,
@@ -119,6 +133,20 @@ o AS (SELECT page_id, m, page_id // 256 AS file, strlen(rec) AS length, sha256(r
 p AS (SELECT *, coalesce(sum(length) OVER (PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM o)
 SELECT file, page_id, "offset", length, digest, CASE WHEN m LIKE '3%' THEN bad_digest END AS replica_digest, CASE WHEN m LIKE '3%' THEN 'corrupt' ELSE 'missing' END AS status
 FROM p WHERE m LIKE '3%' OR m LIKE 'a%'""",
+    "op2_substring_dedup": _passages_sql(35),
+    "op3_suffix_array_dedup": _passages_sql(50),
+    "op5_decontamination": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bi AS (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM b WHERE len(w) > 0),
+p AS (SELECT DISTINCT item_id, n, array_to_string(w[i : i + n - 1], ' ') AS g FROM bi),
+di AS (SELECT r, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM p) WHERE len(w) >= n),
+o AS (SELECT di.r, i, n, array_to_string(w[i : i + n - 1], ' ') AS g FROM di JOIN d ON di.r = d.r),
+h AS (SELECT r, i, o.n, item_id FROM o JOIN p ON o.g = p.g AND o.n = p.n),
+hit AS (SELECT r, count(DISTINCT pos) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS pos FROM h) GROUP BY r),
+named AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item_id::VARCHAR AS item FROM h WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit ON d.r = hit.r LEFT JOIN named ON d.r = named.r""",
     "op8_line_dedup": r"""
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
 k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
