@@ -16,7 +16,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from vecspark.llm import queries as Q  # noqa: E402
 from vecspark.llm.automaton import substring_dedup  # noqa: E402
-from vecspark.llm.bpe import PATTERN, Transducer, Utf8Machine, decode, encode, load_ranks, round_trip  # noqa: E402
+from vecspark.llm.bpe import PATTERN, Decoder, Transducer, Utf8Machine, decode, encode, load_ranks, round_trip  # noqa: E402
 from vecspark.llm.components import components  # noqa: E402
 from vecspark.llm.fmindex import contaminated_spans  # noqa: E402
 from vecspark.llm.langid import identify, learn_languages  # noqa: E402
@@ -259,6 +259,35 @@ def test_bpe_query(spark):
         assert r.decoded_sha256 == sha(data[r.doc_id]) and r.decoded_valid
 
 
+def test_bpe_of_two_vocabularies_of_one_size(spark, tmp_path):
+    import base64
+
+    docs = spark.createDataFrame([(1, "abc"), (1, "abc"), (None, None)], "doc_id long, text string").coalesce(1)
+    single = [bytes([i]) for i in range(256)]
+    for name, pair, want in (("a", b"ab", [256, 99]), ("b", b"bc", [97, 256])):
+        (tmp_path / name).write_bytes(b"\n".join(base64.b64encode(t) + b" " + str(i).encode() for i, t in enumerate([*single, pair])))
+        for found in (encode(docs, str(tmp_path / name), PATTERN), round_trip(docs, str(tmp_path / name), PATTERN)):
+            assert sorted((r.doc_id or 0, list(r.ids)) for r in found.collect()) == [(0, []), (1, want), (1, want)]
+
+
+def test_bpe_decodes_a_stream_of_ids():
+    ranks = load_ranks(Q.tokenizer_path())
+    machine, decoder = Transducer(ranks, PATTERN), Decoder(ranks)
+    text = "é日本 🙂 naïve 𝕏 " * 20 + "x" * 700
+    ids = list(machine.tokens(text))
+    assert ids == machine.encode(text)
+    for run in (1, 2, 3, 1000):
+        stream, out = decoder.stream(), b""
+        for i in range(0, len(ids), run):
+            out += stream.feed(np.array(ids[i : i + run]))
+            assert out.decode() is not None and text.encode().startswith(out)  # only whole characters go out
+        assert out + stream.end() == text.encode() and stream.valid
+    for bad in ([0xC3], [0xC3, 0x41], [0x80], [0xE2, 0x82, 0xC3]):
+        stream = decoder.stream()
+        got = b"".join(stream.feed(np.array([ranks[bytes([b])]])) for b in bad) + stream.end()
+        assert got == bytes(bad) and not stream.valid
+
+
 def test_bpe_streams_long_pieces():
     path = Q.tokenizer_path()
     machine = Transducer(load_ranks(path), PATTERN)

@@ -11,6 +11,7 @@ emitted once every boundary a later token can start from traces back through it.
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 from array import array
 from collections.abc import Iterator
@@ -172,6 +173,14 @@ class Transducer:
             n -= len(self.token[lasts[n]])
         return out[::-1]
 
+    def tokens(self, text: str) -> Iterator[int]:
+        """The tokens of a text as they settle: of a long piece before its end is read."""
+        for piece in _usual(text) if self.plain and not _unusual(text) else self.find(text):
+            if len(piece) < LOOKAHEAD // 4:
+                yield from array("i", self.pieces.get(piece) or self.piece(piece))
+            else:
+                yield from self.stream(piece.encode())
+
     def piece(self, text: str) -> bytes:
         if len(self.pieces) >= PIECES:
             self.older = dict(self.pieces)
@@ -241,43 +250,83 @@ class Utf8Machine:
 
 
 class Decoder:
-    """Bytes of token ids by table; text validity by the state machine, across token ends."""
+    """The table of tokens' bytes that streams of ids are decoded by."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        n = max(ranks.values()) + 1
+        n = max(ranks.values(), default=-1) + 1
         self.token = [b""] * n
         for b, i in ranks.items():
             self.token[i] = b
         self.length = np.array([len(b) for b in self.token], np.int64)
-        self.start = np.concatenate(([0], np.cumsum(self.length)[:-1]))
+        self.start = np.concatenate(([0], np.cumsum(self.length)[:-1])).astype(np.int64)
         self.flat = np.frombuffer(b"".join(self.token), np.uint8)
         self.alone = np.zeros(n, bool)
         for i, b in enumerate(self.token):
             m = Utf8Machine()
             self.alone[i] = m.feed(b) and m.complete
 
-    def bytes(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The bytes of ids one after another, and each token's length."""
+    def bytes(self, ids: np.ndarray) -> bytes:
         lengths = self.length[ids]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
-        return self.flat[np.repeat(self.start[ids] - (ends - lengths), lengths) + np.arange(total)], lengths
+        return self.flat[np.repeat(self.start[ids] - (ends - lengths), lengths) + np.arange(total)].tobytes()
+
+    def stream(self) -> Stream:
+        return Stream(self)
 
-    def valid(self, ids: np.ndarray) -> bool:
-        """Whether the ids' bytes are UTF-8; only tokens that are not whole characters are stepped through."""
-        machine, last = Utf8Machine(), -2
-        for i in np.flatnonzero(~self.alone[ids]):
-            if not machine.complete and i != last + 1 or not machine.feed(self.token[ids[i]]):
-                return False
-            last = i
-        return machine.complete
+
+class Stream:
+    """Incremental decoding: ids come in runs, and whole characters go out as soon as their bytes are there.
+
+    The UTF-8 machine's state goes over from token to token and from run to run. A token that is whole
+    characters leaves the machine where it was, so it is stepped through only inside or after a character that
+    tokens share; bytes of an open character wait in `pending`. After an error, bytes go out unchecked.
+    """
+
+    def __init__(self, decoder: Decoder):
+        self.decoder, self.machine, self.pending, self.valid = decoder, Utf8Machine(), b"", True
+
+    def feed(self, ids: np.ndarray) -> bytes:
+        """The bytes that are settled after these ids."""
+        data = self.pending + self.decoder.bytes(ids)
+        if self.valid:
+            machine, token, last = self.machine, self.decoder.token, -1
+            for i in np.flatnonzero(~self.decoder.alone[ids]).tolist():
+                # a whole character may not come inside an open one; an open one ends in the next token
+                if not machine.complete and i != last + 1 or not machine.feed(token[ids[i]]):
+                    self.valid = False
+                    break
+                last = i
+            if self.valid and not machine.complete and last != len(ids) - 1:
+                self.valid = False
+        open_ = 0 if not self.valid or self.machine.complete else self._open(data)
+        self.pending = data[len(data) - open_ :]
+        return data[: len(data) - open_]
+
+    @staticmethod
+    def _open(data: bytes) -> int:
+        """How many bytes at the end belong to a character that isn't whole."""
+        return next(n for n in range(1, 4) if data[-n] >= 0xC0)
+
+    def end(self) -> bytes:
+        """What is left of an open character, which makes the stream invalid."""
+        rest, self.pending = self.pending, b""
+        self.valid = self.valid and not rest
+        return rest
+
+
+def _vocabulary(path: str) -> tuple[str, dict[bytes, int]]:
+    """A digest of a file of ranks, and the ranks."""
+    return hashlib.sha256(Path(path).read_bytes()).hexdigest(), load_ranks(path)
 
 
 def _machine(kind: type, shared, *more: str):
     """This worker's encoder or decoder of a vocabulary; it outlives a task, until another operator runs here."""
-    ranks = shared.value
-    key = (kind, len(ranks), next(iter(ranks)), *more)
+    digest, ranks = shared.value
+    key = (kind, digest, *more)
     if key not in kept:
+        for other in [k for k in kept if k[0] is kind]:  # one vocabulary at a time
+            del kept[other]
         kept[key] = kind(ranks, *more)
     return kept[key]
 
@@ -307,12 +356,19 @@ def _encoded(machine: Transducer, texts: pa.Array) -> Iterator[tuple[int, int, n
         yield first, at, np.frombuffer(b"".join(out), np.int32), bounds
 
 
+#: Ids that a stream takes at once.
+RUN = 1 << 16
+
+
 def _decoded(machine: Decoder, ids: np.ndarray, bounds: np.ndarray) -> list[pa.Array]:
-    """The bytes of each row's ids, and whether they are whole UTF-8."""
-    data, lengths = machine.bytes(ids)
-    where, raw = np.append(0, np.cumsum(lengths))[bounds], data.tobytes()
-    out = pa.array([raw[a:b] for a, b in zip(where[:-1], where[1:], strict=True)], pa.binary())
-    return [out, pa.array([machine.valid(ids[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.bool_())]
+    """The bytes of each row's ids by a stream of its own, and whether they are whole UTF-8."""
+    out, valid = [], []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        stream = machine.stream()
+        parts = [stream.feed(ids[i : min(b, i + RUN)]) for i in range(a, b, RUN)]
+        out.append(b"".join([*parts, stream.end()]))
+        valid.append(stream.valid)
+    return [pa.array(out, pa.binary()), pa.array(valid, pa.bool_())]
 
 
 _ID, _IDS = T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))
@@ -324,11 +380,11 @@ def _texts(documents: DataFrame) -> DataFrame:
 
 
 def encode(documents: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, ids array<int>): the tokens of each whole text; null text has none.
+    """(doc_id, ids array<int>): the tokens of each whole text; null and empty texts have none.
 
-    The vocabulary is broadcast: a file of a fixed size, about 1 MB.
+    Every row gives one row, repeated ones and those without doc_id too; other columns are left out. The vocabulary is broadcast: a file of a fixed size, about 1 MB.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(load_ranks(path))
+    shared = documents.sparkSession.sparkContext.broadcast(_vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = _machine(Transducer, shared, pattern)
@@ -342,9 +398,9 @@ def encode(documents: DataFrame, path: str, pattern: str) -> DataFrame:
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """Replace `ids` by `decoded` (binary) and `valid`: whether it is whole UTF-8; null ids are empty.
 
-    Other columns are passed through.
+    Every row gives one row; other columns are passed through. Bytes that aren't UTF-8 are returned as they are.
     """
-    shared = encoded.sparkSession.sparkContext.broadcast(load_ranks(path))
+    shared = encoded.sparkSession.sparkContext.broadcast(_vocabulary(path))
     others = [f for f in encoded.schema.fields if f.name != "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,9 +423,10 @@ def round_trip(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, ids, decoded, valid): each whole text encoded, and its ids decoded, in one pass.
 
     As decode(encode(...)), but ids don't go to the JVM and back, and an executor has one worker a core
-    instead of two, each with half the memory. The decoder sees nothing but the ids.
+    instead of two, each with half the memory. The decoder sees nothing but the ids. Nulls and repeated rows
+    are as in encode.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(load_ranks(path))
+    shared = documents.sparkSession.sparkContext.broadcast(_vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = _machine(Transducer, shared, pattern), _machine(Decoder, shared)
