@@ -349,14 +349,46 @@ def test_language_id_awkward(spark):
     assert len(got) == len(awkward()) + 1
     assert all(r.lang_pred == "und" and r.rejected and r.score == 0 for r in got if r.doc_id in (4, 5, 8, 99))
     none = identify(docs, learn_languages(docs, F.lit(False)))
-    assert {x.lang_pred for x in none.collect()} == {"und"}
+    assert {(x.lang_pred, x.score) for x in none.collect()} == {("und", 0.0)}
+    assert {x.doc_id for x in none.where("rejected").collect()} == {4, 5, 8, 99}
     assert identify(docs.limit(0), None).count() == 0
 
 
 def test_toxicity(spark):
     path = "/root/testdata/sf0.1"
     r = Q.op7_toxicity(spark, path).join(spark.read.parquet(f"{path}/labels.parquet"), "doc_id").where("held_out").toPandas()
-    assert ((r.score >= 0.5) == (r.toxic == 1)).mean() > 0.95
+    found, toxic = r.predicted == 1, r.toxic == 1
+    # 7 of 97 toxic labels are on texts without any word that marks the others
+    assert (found & toxic).sum() / toxic.sum() > 0.92 and (found & toxic).sum() / found.sum() > 0.95
+    assert (found == (r.score >= 0.5)).all() and r.score.between(0, 1).all()
+
+
+def _with_tables(spark, tmp_path, **tables):
+    for name, df in tables.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    return str(tmp_path)
+
+
+def test_scores_see_neither_held_out_labels_nor_other_columns(spark, tmp_path):
+    d = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    other = docs.withColumn("source", F.lit("x")).withColumn("n_chars", F.lit(0))
+    bent = _with_tables(spark, tmp_path / "a", documents=other.withColumn("lang", F.lit("zz")), labels=labels.withColumn("toxic", F.when(Q.held_out(5, 0), 1 - F.col("toxic")).otherwise(F.col("toxic"))))
+    score = lambda q, where: {r.doc_id: r.score for r in q(spark, where).collect()}
+    assert score(Q.op7_toxicity, d) == score(Q.op7_toxicity, bent)
+    bent = _with_tables(spark, tmp_path / "b", documents=other.withColumn("lang", F.when(Q.held_out(3, 1), F.lit("zz")).otherwise(F.col("lang"))))
+    assert score(Q.op9_language_id, d) == score(Q.op9_language_id, bent)
+
+
+def test_samples_are_bounded_whole_and_without_repeats(spark):
+    from vecspark.llm.base import bounded_sample
+
+    texts = [f"text {i} " * (i % 50) for i in range(2000)] + ["copy " * 100] * 3000 + ["long " * 40000]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select(F.xxhash64("text").alias("h"), "text")
+    got = [r.text for r in bounded_sample(rows, 100, 20_000, 100_000)]
+    assert 0 < len(got) <= 200 and sum(map(len, got)) <= 40_000 and len(set(got)) == len(got) and set(got) <= set(texts[:-1])
+    assert {r.text for r in bounded_sample(rows, 10_000, 1 << 30, 100_000)} == set(texts[:-1])
+    assert bounded_sample(rows.limit(0), 1, 1, 1) == []
 
 
 def test_toxicity_awkward(spark):
@@ -385,6 +417,7 @@ def test_identity_terms_have_no_weight():
     assert one("word1 word2 muslims word3") < 0.5 < one("word1 vile word3")
     assert abs(one("word1 muslims") - one("word1 women")) < 0.15
     assert swap_identity("the Muslims came", "jews") == "the jews came"
+    assert swap_identity("Muslims, (women) and Männer! womenfolk", "x") == "x, (x) and x! womenfolk"
 
 
 def test_fixity(spark):

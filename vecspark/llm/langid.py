@@ -15,11 +15,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import Words, keyed, released, text_chunks
+from .base import Words, bounded_sample, keyed, released, text_chunks
 
 BUCKETS, DIM, GRAMS = 1 << 15, 16, (2, 3, 4)
-#: About so many labelled documents are read for training, however many there are.
-SAMPLE_ROWS = 2000
+#: About so many labelled documents, and bytes of their texts, are read for training, however many there are; at
+#: most twice as many come. Texts over LONGEST bytes are left out of the sample.
+SAMPLE_ROWS, SAMPLE_BYTES, LONGEST = 2000, 16 << 20, 1 << 20
 EPOCHS, BATCH, RATE = 8, 32, 0.5
 #: Share of the calibration documents that rejection may cost, and the score at which it ends.
 REJECTED, SURE = 0.002, 0.5
@@ -115,28 +116,26 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> LanguageModel:
     return model
 
 
-def learn_languages(documents: DataFrame, learn: Column, rows: int = SAMPLE_ROWS, label: str = "lang") -> LanguageModel | None:
-    """Fit on about `rows` of the documents where `learn` holds and the label is not null.
+def learn_languages(documents: DataFrame, learn: Column, rows: int = SAMPLE_ROWS, label: str = "lang", size: int = SAMPLE_BYTES, longest: int = LONGEST) -> LanguageModel | None:
+    """Fit on about `rows` of the documents where `learn` holds and neither label nor text is null.
 
-    The sample is those with the smallest hashes of doc_id and text, so it is the same in any order
-    and partitioning; it is taken by a threshold in one scan, without a sort. None without labels.
+    The sample is those with the smallest hashes of doc_id, text and label, so it is the same in any order
+    and partitioning; rows that repeat a document are one. It holds about `size` bytes at most, in whole texts
+    of up to `longest` bytes each. None without labels.
     """
     known = documents.where(learn & F.col(label).isNotNull() & F.col("text").isNotNull())
-    pick = known.select(F.xxhash64(F.lit(9), "doc_id", "text").alias("h"), F.col("text").cast("string").alias("text"), F.col(label).cast("string").alias("y"))
-    n = known.count()
-    if not n:
-        return None
-    got = (pick if n <= rows else pick.where(F.col("h") < F.lit(int(-(1 << 63) + (1 << 64) * rows / n)))).collect()
-    got.sort(key=lambda r: (r.h, r.text, r.y))
-    got = got[: 2 * rows]
+    text, y = F.col("text").cast("string"), F.col(label).cast("string")
+    got = bounded_sample(known.select(F.xxhash64(F.lit(9), "doc_id", text, y).alias("h"), text.alias("text"), y.alias("y")), rows, size, longest)
     return train([r.text for r in got], [r.y for r in got]) if got else None
 
 
 def identify(documents: DataFrame, model: LanguageModel | None) -> DataFrame:
     """(_k, doc_id, lang_pred, score, rejected) of every whole text.
 
-    A text that is null or has no letter is `und` with score 0, and rejected; so is every text without
-    a model. rejected also holds where the calibrated score is under the model's threshold.
+    A text that is null or has no letter is `und` with score 0, and rejected. rejected also holds where the
+    calibrated score is under the model's threshold. Without a model every text is `und` with score 0, and only
+    those without a letter are rejected: nothing was learnt that could reject the others. Rows that repeat a
+    document give a row each.
     """
     docs = keyed(documents)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -151,10 +150,10 @@ def identify(documents: DataFrame, model: LanguageModel | None) -> DataFrame:
                 else:
                     p = m.probabilities(data, bounds)
                     best, names = p.max(axis=1), np.array(m.languages, object)[p.argmax(axis=1)]
-                unknown = ~letters[lo:hi] | (m is None)
+                unknown = ~letters[lo:hi]
                 best = np.where(unknown, 0.0, np.clip(best, 0, 1))
                 names[unknown] = UNKNOWN
-                rejected = unknown | (best < (m.threshold if m else 1))
+                rejected = unknown | (best < (m.threshold if m else 0))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(names.tolist(), pa.string()), pa.array(best), pa.array(rejected)], ["_k", "doc_id", "lang_pred", "score", "rejected"])
 
     return docs.withColumn("letters", F.col("text").rlike(r"\p{L}")).mapInArrow(released(run), "_k long, doc_id long, lang_pred string, score double, rejected boolean")

@@ -2,14 +2,15 @@
 
 Features are the presence of hashed words and word beginnings. A bounded sample of labelled rows
 gives, first, the features whose rates differ between the labels by more than chance, and then the
-weights: log loss, a ridge, and a penalty on the squared change of the score when the identity term
-of a labelled sentence is swapped for another one or left out. So a neutral mention of a group has
-no weight of its own.
+weights: log loss, a ridge, and a penalty on the squared change of the score when the identity terms
+of a labelled text are swapped for others of their language or left out, or a mention is added to a
+text without one. So a neutral mention of a group has no weight of its own.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,16 +18,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import ALNUM_BYTES, Words, keyed, mix, released, text_chunks
+from .base import ALNUM_BYTES, Words, bounded_sample, keyed, mix, released, text_chunks
 
-#: About so many labelled documents are read for training, however many there are.
-SAMPLE_ROWS = 8000
+#: About so many labelled documents, and bytes of their texts, are read for training, however many there are; at
+#: most twice as many come. Texts over LONGEST bytes are left out of the sample.
+SAMPLE_ROWS, SAMPLE_BYTES, LONGEST = 8000, 24 << 20, 1 << 20
 #: Bytes of the word beginnings that are features beside whole words.
 HEADS = (4, 5, 6)
 FEATURES, SIGNIFICANT, LEAST_DOCS = 512, 4.5, 3
-#: Terms swapped in the counterfactuals, and sentences that serve as such beside those that hold one.
-IDENTITIES = ("women", "men", "girls", "boys", "muslims", "christians", "jews", "hindus", "atheists", "immigrants", "refugees", "foreigners", "gay", "lesbian", "straight", "transgender", "black", "white", "asian", "latino", "arab", "african", "european", "american", "disabled", "deaf", "blind", "elderly", "young", "poor")
-CARRIERS = 400
+#: Terms of each language that are swapped in the counterfactuals, for one of the same language.
+IDENTITIES = {
+    "en": ("women", "men", "girls", "boys", "muslims", "christians", "jews", "hindus", "atheists", "immigrants", "refugees", "foreigners", "gay", "lesbian", "straight", "transgender", "black", "white", "asian", "latino", "arab", "african", "european", "american", "disabled", "deaf", "blind", "elderly", "young", "poor"),
+    "de": ("frauen", "männer", "mädchen", "jungen", "muslime", "christen", "juden", "atheisten", "einwanderer", "flüchtlinge", "ausländer", "schwule", "lesben", "schwarze", "weiße", "asiaten", "araber", "afrikaner", "behinderte", "gehörlose", "blinde", "alte", "arme"),
+    "fr": ("femmes", "hommes", "filles", "garçons", "musulmans", "chrétiens", "juifs", "athées", "immigrés", "réfugiés", "étrangers", "homosexuels", "lesbiennes", "noirs", "blancs", "asiatiques", "arabes", "africains", "handicapés", "sourds", "aveugles", "vieux", "pauvres"),
+    "es": ("mujeres", "hombres", "niñas", "niños", "musulmanes", "cristianos", "judíos", "ateos", "inmigrantes", "refugiados", "extranjeros", "homosexuales", "lesbianas", "negros", "blancos", "asiáticos", "árabes", "africanos", "discapacitados", "sordos", "ciegos", "ancianos", "pobres"),
+}
+#: A term's languages, and what stands for a word in the features (see ALNUM_BYTES).
+_TERMS = {t: tuple(x for x, own in IDENTITIES.items() if t in own) for own in IDENTITIES.values() for t in own}
+_WORD = re.compile("[0-9A-Za-z\u0080-\U0010ffff]+")
 FAIRNESS, RIDGE, STEPS = 2.0, 1e-3, 400
 
 
@@ -59,10 +68,21 @@ def _presence(texts: list[bytes], known: np.ndarray) -> np.ndarray:
     return out
 
 
-def swap_identity(text: str, to: str) -> str:
-    """text with each identity term replaced by `to` (an empty one leaves it out)."""
-    terms = set(IDENTITIES)
-    return " ".join(x for x in (to if w.lower() in terms else w for w in text.split()) if x)
+def swap_identity(text: str, to: str | Callable[[str], str]) -> str:
+    """text with each identity term replaced by `to`, or by what it gives for the term; an empty one leaves it out.
+
+    Terms are whole words as the features see them, so punctuation beside a term stays where it is.
+    """
+
+    def swap(m: re.Match) -> str:
+        word = m.group().lower()
+        return (to if isinstance(to, str) else to(word)) if word in _TERMS else m.group()
+
+    return _WORD.sub(swap, text)
+
+
+def names_identity(text: str) -> bool:
+    return any(w in _TERMS for w in set(_WORD.findall(text.lower())))
 
 
 @dataclass
@@ -108,19 +128,24 @@ def _select(texts: list[bytes], y: np.ndarray) -> np.ndarray:
 def train(texts: list[str], labels: list[int], seed: int = 5) -> ToxicityModel:
     y = np.array(labels, np.float64)
     raw = [t.encode() for t in texts]
-    h, _ = features_of(np.frombuffer(" ".join(IDENTITIES).encode(), np.uint8), np.array([0, len(" ".join(IDENTITIES))]))
+    terms = [t.encode() for t in _TERMS]
+    h, which = features_of(np.frombuffer(b"".join(terms), np.uint8), np.append(0, np.cumsum([len(t) for t in terms])))
     known = np.unique(np.concatenate((_select(raw, y), h)))
     x = _presence(raw, known)
     rng = np.random.default_rng(seed)
-    # Counterfactual pairs: sentences that name a group, and others to which a mention is added.
-    named = [t for t in texts if any(w in IDENTITIES for w in t.lower().split())][:CARRIERS]
-    carriers = [t[:400] for t in texts[:CARRIERS]]
-    this = [*named, *(f"{t} {rng.choice(IDENTITIES)}" for t in carriers)]
-    other = [swap_identity(t, str(rng.choice(("", *IDENTITIES)))) for t in this]
-    gap = _presence([t.encode() for t in this], known) - _presence([t.encode() for t in other], known)
+    term_rows = np.zeros((len(terms), len(known)), np.float32)
+    term_rows[which, np.searchsorted(known, h)] = 1
+    # Counterfactuals of every text of the sample: a group's name swapped or left out, or else a mention added.
+    named = np.array([names_identity(t) for t in texts], bool)
+    pick = lambda own: str(rng.choice(("", *(t for t in IDENTITIES[own[int(rng.integers(len(own)))]]))))
+    other = [swap_identity(t, lambda term: pick(_TERMS[term])).encode() for t, has in zip(texts, named, strict=True) if has]
+    gap = np.empty_like(x)
+    gap[named] = x[named] - _presence(other, known)
+    rest = np.flatnonzero(~named)
+    gap[rest] = x[rest] - np.maximum(x[rest], term_rows[rng.integers(len(terms), size=len(rest))])
     w, b = np.zeros(len(known)), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
-    # both classes weigh the same in the loss, but for a floor on the rarer one
-    rare = max(0.02, min(0.98, y.mean() if len(y) else 0.5))
+    # the rarer class weighs more, as if it were 15 % of the rows; beyond that, chance features would cost clean texts
+    rare = max(0.15, min(0.85, y.mean() if len(y) else 0.5))
     weight = np.where(y > 0, 0.5 / rare, 0.5 / (1 - rare))
     # full-batch descent with per-weight steps (Adam)
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
@@ -135,28 +160,28 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> ToxicityModel:
     return ToxicityModel(known, w, float(b))
 
 
-def learn_toxicity(documents: DataFrame, labels: DataFrame, learn: Column, rows: int = SAMPLE_ROWS) -> ToxicityModel:
-    """Fit on about `rows` of the labelled documents where `learn` (on doc_id) holds.
+def learn_toxicity(documents: DataFrame, labels: DataFrame, learn: Column, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES, longest: int = LONGEST) -> ToxicityModel:
+    """Fit on about `rows` of the labelled documents where `learn` (on doc_id) holds, of about `size` bytes at most.
 
-    The sample is the doc_ids with the smallest hashes. Their labels, at most a few per row, are
-    broadcast to one scan of the documents; a doc_id with labels of both kinds counts as toxic.
-    Without labels every score is one half.
+    The sample is the documents with the smallest hashes of doc_id and text, whole texts of up to `longest` bytes
+    each; rows that repeat a document are one. Labels are first cut to about 4 * rows doc_ids by hash, so that
+    they are broadcast to the scans of the documents. A doc_id with labels of both kinds counts as toxic; null
+    doc_ids and labels teach nothing. Without labels every score is one half.
     """
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(learn & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
-    n = marks.count()
-    if not n:
-        return ToxicityModel(np.empty(0, np.uint64), np.empty(0), 0.0)
-    if n > rows:
-        marks = marks.where(F.xxhash64(F.lit(7), "doc_id") < F.lit(int(-(1 << 63) + (1 << 64) * rows / n)))
+    n = marks.select("doc_id").distinct().count()
+    if n > 4 * rows:
+        marks = marks.where(F.xxhash64(F.lit(7), "doc_id") < F.lit(int(-(1 << 63) + (1 << 64) * 4 * rows / n)))
     picked = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    got = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").collect()
-    got.sort(key=lambda r: (r.doc_id, r.text))
-    got = got[: 2 * rows]
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    got = bounded_sample(texts.select(F.xxhash64(F.lit(5), "doc_id", "text").alias("h"), "text", "toxic"), rows, size, longest)
+    if not got:
+        return ToxicityModel(np.empty(0, np.uint64), np.empty(0), 0.0)
     return train([r.text for r in got], [int(r.toxic > 0) for r in got])
 
 
 def toxicity(documents: DataFrame, model: ToxicityModel) -> DataFrame:
-    """(_k, doc_id, score) of every whole text; null and empty texts score as texts without features."""
+    """(_k, doc_id, score) of every whole text, a row for each row; null and empty texts score as without features."""
     docs = keyed(documents)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
