@@ -25,7 +25,7 @@ from vecspark.llm.media import compose_pages, decode_png, encode_png, media_stor
 from vecspark.llm.simhash import simhash_components  # noqa: E402
 from vecspark.llm.sparse_sa import suffix_array_dedup  # noqa: E402
 from vecspark.llm.toxicity import learn_toxicity, swap_identity, toxicity  # noqa: E402
-from vecspark.llm.warc import fixity_audit, warc_leaves  # noqa: E402
+from vecspark.llm.warc import fixity_audit, merkle_trees, warc_leaves  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
 SPACES = re.compile(r"[^\x20\x09-\x0D]+")
@@ -420,11 +420,44 @@ def test_identity_terms_have_no_weight():
     assert swap_identity("Muslims, (women) and Männer! womenfolk", "x") == "x, (x) and x! womenfolk"
 
 
+def audit(a, b):
+    return fixity_audit(*merkle_trees(warc_leaves(a), warc_leaves(b)))
+
+
 def test_fixity(spark):
     pages = spark.createDataFrame([(i, f"u{i}", f"<p>{i}</p>") for i in range(700)] + [(None, "n", "x"), (None, "m", None), (3, "u3", "<p>3</p>")], "page_id long, url string, html string").withColumn("file", F.lit("clash"))
-    assert fixity_audit(warc_leaves(pages), warc_leaves(pages)).count() == 0
-    assert fixity_audit(warc_leaves(pages.limit(0)), warc_leaves(pages.limit(0))).count() == 0
+    assert audit(pages, pages).count() == 0
+    assert audit(pages.limit(0), pages.limit(0)).count() == 0
+    assert {r.status for r in audit(pages, pages.limit(0)).collect()} == {"missing"} and audit(pages.limit(0), pages).count() == 703
     replica = pages.where("page_id is null or page_id not in (5, 3)").withColumn("html", F.when(F.col("page_id") == 600, "bad").otherwise(F.col("html")))
     replica = replica.unionByName(pages.where("page_id = 3").limit(1)).unionByName(spark.createDataFrame([(9999, "e", "e")], "page_id long, url string, html string").withColumn("file", F.lit("")))
-    got = fixity_audit(warc_leaves(pages), warc_leaves(replica)).collect()
+    got = audit(pages, replica).collect()
     assert sorted((r.page_id, r.status) for r in got) == [(3, "missing"), (5, "missing"), (600, "corrupt"), (9999, "extra")]
+
+
+def test_fixity_of_repeated_and_large_page_ids(spark):
+    big = (1 << 53) + 1
+    rows = [(7, f"u{i % 40}", "x" * (i % 40)) for i in range(400)] + [(big, "a", "a"), (big + 1, "b", "b"), (-5, "c", "c")] + [(None, "n", "n")] * 5
+    schema = "page_id long, url string, html string"
+    pages = spark.createDataFrame(rows, schema)
+    leaves = warc_leaves(pages).collect()
+    at = {}  # records of a file lie without gaps
+    for r in sorted(leaves, key=lambda r: (r.file, r.page_id is None, r.page_id or 0, r.digest)):
+        assert r.offset == at.get(r.file, 0)
+        at[r.file] = r.offset + r.length * r.copies
+    assert sum(r.copies for r in leaves) == len(rows) and {r.file for r in leaves if r.page_id in (big, big + 1)} == {big // 256, (big + 1) // 256}
+    lost = [r for i, r in enumerate(rows) if not (r[0] == 7 and i >= 390)]
+    got = audit(pages, spark.createDataFrame([*lost[:-8], (big, "a", "A"), *lost[-7:-2]], schema)).collect()
+    assert collections.Counter((r.page_id, r.status) for r in got) == {(7, "missing"): 10, (big, "corrupt"): 1, (None, "missing"): 2}
+    assert len({(r.file, r.offset) for r in got}) == len(got)
+
+
+def test_fixity_reads_the_roots_of_an_intact_replica(spark):
+    from vecspark.llm.base import discard, recorded
+
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    with recorded() as made:
+        a, b = merkle_trees(warc_leaves(pages), warc_leaves(pages))
+    roots = a.levels[-1].inputFiles() + b.levels[-1].inputFiles()
+    discard(spark, [p for p in made if not any(p.rsplit("/", 1)[-1] in f for f in roots)])
+    assert len(a.levels) > 2 and a.levels[-1].count() == 1 and fixity_audit(a, b).count() == 0

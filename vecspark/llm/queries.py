@@ -15,7 +15,7 @@ from .media import compose_pages, media_store, parse_sequences, read_back, resol
 from .simhash import simhash_components
 from .sparse_sa import suffix_array_dedup
 from .toxicity import learn_toxicity, toxicity
-from .warc import fixity_audit, warc_leaves
+from .warc import fixity_audit, merkle_trees, warc_leaves
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -33,7 +33,7 @@ def op1_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     mark = F.substring(F.md5(F.coalesce("url", F.lit("")).cast("binary")), 1, 1)
     replica = pages.where(mark != "a").withColumn("html", F.when(mark == "3", F.concat("html", F.lit("\x00"))).otherwise(F.col("html")))
-    found = fixity_audit(warc_leaves(pages), warc_leaves(replica))
+    found = fixity_audit(*merkle_trees(warc_leaves(pages), warc_leaves(replica)))
     return found.select("file", "page_id", "offset", "length", "digest", "replica_digest", "status")
 
 
