@@ -213,14 +213,14 @@ def test_links_of_close_fingerprints_in_blocks(spark):
     near = [int(x) ^ sum(1 << int(b) for b in rng.choice(64, int(rng.integers(0, 7)), replace=False)) for x in rng.integers(0, 1 << 62, 6) for _ in range(60)]
     near = sorted(set(near))
     sign = lambda x: x - (1 << 64) if x >> 63 else x
-    for block in (4096, 16):
-        links = fingerprint_links(spark.createDataFrame([(sign(x),) for x in near], "fp long"), 4, block)
+    for block, budget, depth in ((4096, 4, None), (16, 4, None), (4096, 4, 4), (4096, 7, 2), (16, 7, 3)):
+        links = fingerprint_links(spark.createDataFrame([(sign(x),) for x in near], "fp long"), budget, block, depth)
         got = {r.node: r.component for r in components(links).collect()}
         label = {x: x for x in near}
         for _ in range(12):
             for a in near:
                 for b in near:
-                    if (a ^ b).bit_count() <= 4:
+                    if (a ^ b).bit_count() <= budget:
                         label[a] = label[b] = min(label[a], label[b], key=sign)
         pairs = lambda m: {frozenset(k for k in m if m[k] == c) for c in set(m.values())}
         assert {p for p in pairs({sign(k): sign(v) for k, v in label.items()}) if len(p) > 1} == {p for p in pairs(got) if len(p) > 1}

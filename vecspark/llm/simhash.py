@@ -1,10 +1,11 @@
 """SimHash near-duplicates by pigeonring filtering.
 
-A fingerprint is cut into a ring of M segments. If two differ in at most T bits, some start of
+A fingerprint is cut into a ring of M = T + 1 segments. If two differ in at most T bits, some start of
 the ring has, for every length l up to M, at most l*T/M differing bits in its first l segments
-(the strong form of the pigeonhole principle). So the first segment agrees, and of the second at
-most one bit may differ: one of its halves agrees too. Keys of (start, segment, half) find the
-candidates; the budgets of longer chains prune these before the full Hamming distance.
+(the strong form of the pigeonhole principle). So the first segment agrees, of the second at most one
+bit differs, of the third at most two, and of a segment with at most d one of d + 1 parts agrees.
+Keys of (start, such parts of the first segments) find the candidates; a key takes in more segments as
+there are more fingerprints. The budgets of longer chains prune these before the full Hamming distance.
 
 Equal fingerprints are one row from the start, and a key's group gives a spanning forest of its
 links, not its pairs. Large groups are dealt out as pairs of blocks over many tasks.
@@ -23,7 +24,9 @@ from pyspark.sql import functions as F
 from .base import Words, keyed, materialize, released, text_chunks
 from .components import components
 
-BITS, SEGMENTS = 64, 5
+BITS = 64
+#: Fingerprints that may agree in a key by chance before keys take in one more segment, and segments of a key.
+CHANCE, DEEPEST = 64, 4
 #: Fingerprints of a key that one task compares; a larger group is dealt out by pairs of blocks.
 BLOCK = 4096
 
@@ -64,8 +67,8 @@ def simhash(documents: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame
     return docs.mapInArrow(released(run), "_k long, doc_id long, fp long")
 
 
-def _segments() -> list[tuple[int, int]]:
-    cuts = [BITS * i // SEGMENTS for i in range(SEGMENTS + 1)]
+def _segments(n: int) -> list[tuple[int, int]]:
+    cuts = [BITS * i // n for i in range(n + 1)]
     return list(zip(cuts[:-1], cuts[1:], strict=True))
 
 
@@ -77,26 +80,39 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _keys(budget: int) -> list[tuple[int, int]]:
-    """(start, mask) of the exact parts by which linked fingerprints meet."""
-    parts, out = _segments(), []
-    if budget // SEGMENTS:
-        raise ValueError(f"a first segment without differences needs a budget under {SEGMENTS}")
-    for i in range(SEGMENTS):
-        lo, hi = parts[(i + 1) % SEGMENTS]
-        spare = 2 * budget // SEGMENTS  # differing bits the second segment may have
-        cuts = [lo + (hi - lo) * j // (spare + 1) for j in range(spare + 2)]
-        out += [(i, _mask(*parts[i]) | _mask(a, b)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+def _keys(budget: int, depth: int = 2) -> list[tuple[int, int]]:
+    """(start, mask) of the exact parts by which linked fingerprints meet, from the first `depth` segments."""
+    n = budget + 1
+    if not 0 < budget < BITS // 4:
+        raise ValueError(f"a budget is from 1 to {BITS // 4 - 1} bits")
+    parts, out = _segments(n), []
+    for i in range(n):
+        masks = [_mask(*parts[i])]
+        for l in range(1, min(depth, n)):
+            lo, hi = parts[(i + l) % n]
+            spare = (l + 1) * budget // n  # differing bits the chain, so this segment, may have
+            cuts = [lo + (hi - lo) * j // (spare + 1) for j in range(spare + 2)]
+            masks = [m | _mask(a, b) for m in masks for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        out += [(i, m) for m in masks]
     return out
 
 
+def key_depth(n: int, budget: int) -> int:
+    """How many segments keys take in so that, of n fingerprints, about CHANCE or fewer meet in one by chance."""
+    depth = min(2, budget + 1)
+    while depth < min(DEEPEST, budget + 1) and n > CHANCE << min(m.bit_count() for _, m in _keys(budget, depth)):
+        depth += 1
+    return depth
+
+
 def links_within(key: np.ndarray, fp: np.ndarray, start: np.ndarray, side: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Forest of the links among equal neighbouring keys (rows sorted by key), and the pairs tested.
 
     side: 0 for a whole group; 1 and 2 for the two blocks of a pair, of which only links across count.
     """
-    parts = _segments()
-    chain = np.array([[_mask(*parts[(i + l) % SEGMENTS]) for l in range(SEGMENTS)] for i in range(SEGMENTS)], np.uint64)
+    n = budget + 1
+    parts = _segments(n)
+    chain = np.array([[_mask(*parts[(i + l) % n]) for l in range(n)] for i in range(n)], np.uint64)
     parent = np.arange(len(key))
 
     def root(i: int) -> int:
@@ -117,9 +133,9 @@ def links_within(key: np.ndarray, fp: np.ndarray, start: np.ndarray, side: np.nd
         tested += len(i)
         x = fp[i] ^ fp[i + step]
         rows, differ = start[i], np.zeros(len(i), np.int64)
-        for l in range(SEGMENTS):  # the last length is the full Hamming check
+        for l in range(n):  # the last length is the full Hamming check
             differ += np.bitwise_count(x & chain[rows, l])
-            ok = differ <= (l + 1) * budget // SEGMENTS
+            ok = differ <= (l + 1) * budget // n
             i, x, rows, differ = i[ok], x[ok], rows[ok], differ[ok]
         i = i[label[i] != label[i + step]]
         for a in i.tolist():
@@ -153,9 +169,12 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield rest
 
 
-def fingerprint_links(fps: DataFrame, budget: int = 4, block: int = BLOCK) -> DataFrame:
-    """(u, v) links of a column fp of distinct fingerprints: enough to connect all within budget bits."""
-    keys = _keys(budget)
+def fingerprint_links(fps: DataFrame, budget: int = 4, block: int = BLOCK, depth: int | None = None) -> DataFrame:
+    """(u, v) links of a column fp of distinct fingerprints: enough to connect all within budget bits.
+
+    The links connect the same fingerprints whatever the depth of the keys (by default key_depth of their number).
+    """
+    keys = _keys(budget, depth or key_depth(fps.count(), budget))
     entry = [F.struct(F.lit(j).alias("j"), F.lit(s).alias("start"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("part")) for j, (s, m) in enumerate(keys)]
     rows = fps.select("fp", F.explode(F.array(*entry)).alias("e")).select("fp", "e.*")
     sizes = materialize(rows.groupBy("j", "part").agg(F.count("*").alias("n")).where("n > 1"), "keys")
@@ -177,9 +196,9 @@ def fingerprint_links(fps: DataFrame, budget: int = 4, block: int = BLOCK) -> Da
 
 
 def simhash_components(documents: DataFrame, shingle: int = 4, seed: int = 42, budget: int = 4) -> DataFrame:
-    """(_k, doc_id, fp, component_id): near-duplicate classes of documents.
+    """(_k, doc_id, fp, component, component_id): near-duplicate classes of documents.
 
-    component_id is the smallest doc_id whose fingerprint is reachable by links of at most budget
+    component is a fingerprint that tells a class apart, as doc_ids may repeat. component_id is the smallest doc_id whose fingerprint is reachable by links of at most budget
     differing bits. Null doc_ids come last: a class of only these has a null component_id. Rows that
     repeat a document are linked with it.
     """
@@ -188,5 +207,5 @@ def simhash_components(documents: DataFrame, shingle: int = 4, seed: int = 42, b
     found = components(fingerprint_links(fps.select("fp"), budget))
     classed = fps.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = classed.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_fp = materialize(classed.join(least, "component").select("fp", "component_id"), "classes")
-    return marked.join(by_fp, "fp").select("_k", "doc_id", "fp", "component_id")
+    by_fp = materialize(classed.join(least, "component").select("fp", "component", "component_id"), "classes")
+    return marked.join(by_fp, "fp").select("_k", "doc_id", "fp", "component", "component_id")
