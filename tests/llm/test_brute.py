@@ -87,6 +87,9 @@ def test_passages_of_a_heavy_gram(spark, monkeypatch):
     monkeypatch.setattr(passages, "HEAVY", 3)
     common = [f"c{i}" for i in range(20)]
     data = [(i, " ".join([f"l{i % 7}_{j}" for j in range(30)] + common + [f"r{i % 5}_{j}" for j in range(30)])) for i in range(40)]
+    # a passage longer than a window, between words that differ in every document and in every few
+    long = [f"p{i}" for i in range(45)]
+    data += [(100 + i, " ".join([f"a{i}_{j}" for j in range(20)] + [f"b{i % 9}_{j}" for j in range(4)] + long + [f"d{i}_{j}" for j in range(20)])) for i in range(30)]
     for operator in (substring_dedup, suffix_array_dedup):
         got = Q._deduplicated(operator(frame(spark, data), window=35)).collect()
         assert collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute_passages(data, 35)

@@ -3,11 +3,12 @@
 Every window of W words selects its least K-word gram by hash (the leftmost of equal ones). Equal
 windows select equal grams at equal offsets, so copies can only meet under one gram. A selected gram
 has a segment: all words of the windows that select it, about W + (W - K) / 2 of them. Only grams that
-occur twice go on; of these, equal segments are one row with a count, and only grams with different
-segments are compared word by word, by the matcher of the operator.
+occur twice go on; of these, equal segments are one row with a count. Every such row goes to the
+operator's matcher, in shards of whole grams.
 
-Grams with very many different segments would make a shard of unbounded size; their windows are
-counted one by one, by hash, in a pre-aggregated shuffle. Either way every window is judged.
+A gram with very many different segments would make a shard of unbounded size: its segments are split
+by the words around the gram, more of them each time, until each has few; at last a key is a whole
+window, and has one. Either way every window is judged by the matcher.
 """
 
 from __future__ import annotations
@@ -99,7 +100,8 @@ def _contents(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
                 content = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(h[take]))
                 yield pa.RecordBatch.from_arrays([flat.field("g"), flat.field("s"), flat.field("n"), flat.field("at"), content], ["g", "s", "n", "at", "words"])
 
-    joined = docs.join(lists, "_k").select("text", "wanted")
+    once = docs.select("_k", "text").dropDuplicates(["_k"])  # rows that repeat a document give its segments once
+    joined = once.join(lists, "_k").select("text", "wanted")
     return joined.mapInArrow(released(run), "g long, s long, n long, at long, words array<long>")
 
 
@@ -134,26 +136,58 @@ def _matched(contents: DataFrame, matcher: Matcher, window: int) -> DataFrame:
     return contents.repartition("g").sortWithinPartitions("g").mapInArrow(released(run), "g long, s long, mask long")
 
 
-def _counted(contents: DataFrame, window: int) -> DataFrame:
-    """(g, s, mask) by the count of every window's hash: for grams with too many segments for a shard."""
+def _narrowed(contents: DataFrame, window: int, gram: int, reach: int) -> DataFrame:
+    """Segments (g, s, off, n, at, words) split by the words up to `reach` before and after their gram: the same
+    columns and the new keys (g2, s2), with off counting windows from the first one of the segment (g, s).
+
+    Windows whose words before and after the gram go beyond the reach stay together; another window is
+    alone, as it sees fewer words on one side. Equal windows get equal keys and places.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(4)
+            g, s, off, n, at = (batch.column(i).to_pylist() for i in range(5))
+            lists = batch.column(5)
             flat, bounds = lists.flatten().to_numpy().view(np.uint64), np.append(0, np.cumsum(np.array(lists.value_lengths())))
-            count = (batch.column(3).to_numpy() >> 8) & 255
-            if not len(count):
-                continue
-            row = np.repeat(np.arange(len(count)), count)
-            nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-            w = gram_hashes(flat, window)[bounds[row] + nth]
-            own = [pa.array(batch.column(i).to_numpy()[row]) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(nth), pa.array(w.view(np.int64))], ["g", "s", "n", "nth", "w"])
-
-    windows = contents.dropDuplicates(["g", "s"]).mapInArrow(released(run), "g long, s long, n long, nth long, w long")
-    often = windows.groupBy("g", "w").agg(F.sum("n").alias("total")).where("total > 1").select("g", "w")
-    bit = F.expr("shiftleft(1L, cast(nth as int))")
-    return windows.join(often, ["g", "w"]).groupBy("g", "s").agg(F.bit_or(bit).alias("mask"))
+            out = [[] for _ in range(8)]
+            for r in range(len(g)):
+                words, count, place = flat[bounds[r] : bounds[r + 1]], at[r] >> 8 & 255, at[r] & 255
+                i = 0
+                while i < count:
+                    before, after = min(place - i, reach), min(window - gram - place + i, reach)
+                    stop = i + 1
+                    if before == after == reach:
+                        while stop < count and place - stop >= reach:
+                            stop += 1
+                    context = words[place - before : place + gram + after]
+                    own = words[i : stop + window - 1]
+                    key = int(mix(gram_hashes(context, len(context)) + np.uint64(before << 8 | after))[0])
+                    same = int(mix(gram_hashes(own, len(own)) + np.uint64(stop - i << 8 | place - i))[0])
+                    for column, value in zip(out, (g[r], s[r], off[r] + i, n[r], stop - i << 8 | place - i, own.view(np.int64), np.uint64(key).view(np.int64), np.uint64(same).view(np.int64)), strict=True):
+                        column.append(value)
+                    i = stop
+            types = [pa.int64()] * 5 + [pa.list_(pa.int64())] + [pa.int64()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["g", "s", "off", "n", "at", "words", "g2", "s2"])
+
+    return contents.select("g", "s", "off", "n", "at", "words").mapInArrow(released(run), "g long, s long, off long, n long, at long, words array<long>, g2 long, s2 long")
+
+
+def _heavy(contents: DataFrame, matcher: Matcher, window: int, gram: int) -> list[DataFrame]:
+    """(g, s, mask) of segments of grams with too many kinds for a shard: matched by longer and longer contexts."""
+    left, reach, found = contents.dropDuplicates(["g", "s"]).withColumn("off", F.lit(0).cast("long")), 2, []
+    while True:
+        reach = min(2 * reach, window - gram)
+        parts = materialize(_narrowed(left, window, gram, reach), "narrowed")
+        kinds = parts.groupBy("g2", "s2").agg(F.count("*").alias("c")).groupBy("g2").agg(F.count("*").alias("kinds"))
+        many = materialize(kinds.where(F.col("kinds") > HEAVY).select("g2"), "many")
+        few = parts.join(many, "g2", "left_anti")
+        one = few.groupBy("g2", "s2").agg(F.sum("n").alias("n"), F.first("at").alias("at"), F.first("words").alias("words"))
+        masks = _matched(one.select(F.col("g2").alias("g"), F.col("s2").alias("s"), "n", "at", "words"), matcher, window).where("mask <> 0")
+        masks = few.select("g", "s", "off", "g2", "s2").join(masks.select(F.col("g").alias("g2"), F.col("s").alias("s2"), "mask"), ["g2", "s2"])
+        found.append(materialize(masks.select("g", "s", F.expr("shiftleft(mask, cast(off as int))").alias("mask")), "heavy"))
+        if not many.limit(1).count():
+            return found
+        left = parts.join(many, "g2", "left_semi").drop("g2", "s2")
 
 
 def repeated_windows(docs: DataFrame, window: int, gram: int, matcher: Matcher) -> DataFrame:
@@ -163,13 +197,12 @@ def repeated_windows(docs: DataFrame, window: int, gram: int, matcher: Matcher)
     grams = materialize(_rows(docs, window, gram).groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "grams")
     found = materialize(_rows(docs, window, gram).join(grams, "g", "left_semi"), "segments")
     unique = materialize(found.groupBy("g", "s").agg(F.count("*").alias("n"), F.min(F.struct("_k", "at")).alias("one")).select("g", "s", "n", "one.*"), "unique")
-    several = materialize(unique.groupBy("g").agg(F.count("*").alias("kinds")).where("kinds > 1"), "several")
-    mixed = unique.join(several, "g")
-    light = _matched(_contents(docs, mixed.where(F.col("kinds") <= HEAVY), window), matcher, window)
-    heavy = _counted(_contents(docs, mixed.where(F.col("kinds") > HEAVY), window), window) if several.where(F.col("kinds") > HEAVY).limit(1).count() else None
-    whole = unique.where("n > 1").select("g", "s", F.expr("shiftleft(1L, cast((at >> 8) & 255 as int)) - 1").alias("mask"))
-    masks = light if heavy is None else light.unionByName(heavy)
-    masks = materialize(masks.where("mask <> 0").unionByName(whole).groupBy("g", "s").agg(F.bit_or("mask").alias("mask")), "masks")
+    many = materialize(unique.groupBy("g").agg(F.count("*").alias("kinds")).where(F.col("kinds") > HEAVY).select("g"), "many")
+    masks = _matched(_contents(docs, unique.join(many, "g", "left_anti"), window), matcher, window)
+    if many.limit(1).count():
+        for more in _heavy(_contents(docs, unique.join(many, "g", "left_semi"), window), matcher, window, gram):
+            masks = masks.unionByName(more)
+    masks = materialize(masks.where("mask <> 0").groupBy("g", "s").agg(F.bit_or("mask").alias("mask")), "masks")
     runs = found.join(masks, ["g", "s"]).groupBy("_k").agg(F.collect_set(F.struct("at", "mask")).alias("runs"))
     return materialize(runs, "runs")
 
