@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vecspark.functions import budgets
 from vecspark.functions import vectors as V
+from vecspark.operators import index as I
 from vecspark.operators import partition as P
 from vecspark.operators import relational as R
 from vecspark.operators import search as S
@@ -45,13 +46,14 @@ def test_budgets():
         budgets.pq_chunk_bounds(4, 5)
 
 
-def test_exact_and_graph_search(spark):
+def test_exact_and_graph_search(spark, tmp_path):
     rows = smooth()
     base = spark.createDataFrame(rows, "id long, vec array<double>")
     qs = base.where(F.col("id").isin(0, 37, 91, 173, 299)).select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
     x = np.array([r[1] for r in rows])
     want = {q: sorted(range(300), key=lambda i: (round(((x[i] - x[q]) ** 2).sum(), 12), i))[:5] for q in (0, 37, 91, 173, 299)}
-    for found in (S.exact_topk(qs, base, 5), S.graph_topk(qs, base, 5, size=64, degree=12)):
+    index = I.build_index(base, str(tmp_path / "index"), degree=12)
+    for found in (S.exact_topk(qs, base, 5), index.search(qs, 5, size=64)):
         got = {}
         for r in found.orderBy("qid", "rank").collect():
             got.setdefault(r.qid, []).append(r.id)
@@ -59,6 +61,27 @@ def test_exact_and_graph_search(spark):
     assert S.exact_topk(qs, base.limit(0), 5).count() == 0
 
 
+def test_index_of_many_shards(spark, tmp_path):
+    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("vec"), F.array("label").alias("labels"))
+    e = e.unionByName(spark.createDataFrame([(10_000, None, [1]), (10_001, None, None)], "id long, vec array<double>, labels array<int>"))
+    same = [(20_000 + i, [1.0] + [0.0] * 63, [7]) for i in range(300)]  # more equal rows than a shard holds
+    e = e.unionByName(spark.createDataFrame(same, "id long, vec array<double>, labels array<int>"))
+    built = I.build_index(e, str(tmp_path / "i"), capacity=128)
+    index = I.open_index(spark, str(tmp_path / "i"))
+    assert index.probes == built.probes and index.nodes.select("id").distinct().count() == 800
+    assert index.nodes.groupBy("cell", "part").count().agg(F.max("count")).first()[0] < 200
+    q = e.where("id % 20 = 0 and vec is not null").select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
+    truth = S.exact_topk(q, e, 20).withColumn("distance", F.round("distance", 9))
+    assert R.recall_at_k(index.search(q, 10), truth, 10).agg(F.avg("recall")).first()[0] >= 90
+    with pytest.raises(ValueError):
+        index.search(q, 10, size=5)
+    spark.createDataFrame([(1,)], "x long").write.mode("append").parquet(str(tmp_path / "i" / "nodes"))
+    with pytest.raises(ValueError):
+        I.open_index(spark, str(tmp_path / "i"))
+    empty = I.build_index(e.limit(0), str(tmp_path / "e"))
+    assert empty.nodes.count() == 0 and empty.search(q, 10).count() == 0
+
+
 def test_bfs_query_reaches_all_levels(spark, tmp_path):
     from vecspark.plans import QUERIES
 

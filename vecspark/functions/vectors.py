@@ -86,6 +86,11 @@ def quantize_u8(v: Column, factor: float, shift: float = 0.0) -> Column:
     return F.transform(v, lambda x: F.least(F.lit(255), F.greatest(F.lit(0), F.round((x.cast("double") + shift) * factor).cast("int"))))
 
 
+def quantize_i8(v: Column, factor: float) -> Column:
+    """round(x * factor), half away from zero, held to -128 .. 127."""
+    return F.transform(v, lambda x: F.least(F.lit(127), F.greatest(F.lit(-128), F.round(x.cast("double") * factor).cast("int"))))
+
+
 def subtract(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x.cast("double") - y.cast("double"))
 

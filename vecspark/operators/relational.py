@@ -16,6 +16,23 @@ from vecspark.functions import vectors as V
 from .lineage import cut
 
 
+def running(df: DataFrame, order: str, amount: str, name: str, blocks: int = 256) -> DataFrame:
+    """df with the sum of amount as far as each row, in order of a column of distinct values.
+
+    Rows are dealt into ranges of the order, whose sums are added up first: no task sees all rows.
+    """
+    ranges = cut(df.repartitionByRange(blocks, order).withColumn("_block", F.spark_partition_id()))
+    sums = ranges.groupBy("_block").agg(F.sum(amount).alias("s"))
+    base = sums.withColumn("_base", F.sum("s").over(Window.orderBy("_block")) - F.col("s")).select("_block", "_base")  # at most `blocks` rows
+    upto = F.sum(amount).over(Window.partitionBy("_block").orderBy(order))
+    return ranges.withColumn(name, upto).join(F.broadcast(base), "_block").withColumn(name, F.col(name) + F.col("_base")).drop("_block", "_base")
+
+
+def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
+    """df with dense numbers from 0 in order of a column of distinct values."""
+    return running(df.withColumn("_one", F.lit(1).cast("long")), order, "_one", name).withColumn(name, F.col(name) - 1).drop("_one")
+
+
 def centroid(df: DataFrame, key: str, vec: str = "vec") -> DataFrame:
     """(key, n, centroid): element-wise means in double precision, partly summed before the shuffle."""
     parts = df.where(F.col(vec).isNotNull()).select(key, F.posexplode(vec).alias("i", "x"))
@@ -73,9 +90,11 @@ def node_importance(saturations: DataFrame, nodes: DataFrame) -> DataFrame:
     by = saturations.groupBy(F.col("witness_id").alias("id")).agg(F.sum("saturation").alias("raw"), F.sum((F.col("saturation") > 0).cast("long")).alias("source_support"), F.sum("events").alias("witness_events"))
     full = nodes.select("id").distinct().join(by, "id", "left").na.fill(0)
     most = full.agg(F.max("raw").alias("most"))
-    counts = full.groupBy("raw").agg(F.count("*").alias("c"))
-    share = counts.withColumn("upto", F.sum("c").over(Window.orderBy("raw"))).join(F.broadcast(counts.agg(F.sum("c").alias("n")))).select("raw", (F.col("upto") / F.col("n")).alias("share"))
-    out = full.join(F.broadcast(most)).join(share, "raw", "left")
+    # Equal values (to 9 digits) have one share: they are counted first, and the counts are summed up by blocks.
+    value = F.round("raw", 9)
+    counts = running(full.groupBy(value.alias("value")).agg(F.count("*").alias("c")), "value", "c", "upto")
+    share = counts.join(F.broadcast(full.agg(F.count("*").alias("n")))).select("value", (F.col("upto") / F.col("n")).alias("share"))
+    out = full.join(F.broadcast(most)).withColumn("value", value).join(share, "value", "left")
     return out.select("id", "raw", (F.col("raw") / (F.col("most") + 1e-12)).alias("normalized"), F.when(F.col("most") > 0, F.col("share")).otherwise(0.0).alias("percentile"), "source_support", "witness_events")
 
 

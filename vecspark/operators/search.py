@@ -1,13 +1,13 @@
-"""Nearest neighbours: exact in blocks, routed through cells, and over per-shard proximity graphs.
+"""Nearest neighbours: exact in blocks, and the pruned proximity graphs that an index walks.
 
-Base vectors are never all in one place. Queries are a stated, small set: they go to the tasks as one
+Base vectors are never all in one place. Queries are a stated set: they go to the tasks as one
 matrix when their size is under QUERY_BYTES, and otherwise block by block. A task keeps its k best of
 each query, so what is shuffled is k rows a query and task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -15,8 +15,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bytes of query vectors in one block, and rows of a shard's graph.
-QUERY_BYTES, SHARD_ROWS = 32 << 20, 20_000
+from .lineage import cut
+
+#: Bytes of query vectors in one block.
+QUERY_BYTES = 32 << 20
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -58,14 +60,21 @@ def rank_per_query(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select("qid", "rank", "id", "distance")
 
 
-def query_blocks(queries: DataFrame, limit: int = QUERY_BYTES) -> list[list]:
-    """Rows of queries (qid, qvec) in blocks of at most about `limit` bytes."""
+def by_query_blocks(queries: DataFrame, search: Callable[[np.ndarray, np.ndarray], DataFrame], limit: int = QUERY_BYTES) -> DataFrame:
+    """The union of search(qids, matrix) over blocks of queries (qid, qvec) of at most about `limit` bytes.
+
+    One block is searched lazily. Of several, each one's rows are written before the next block is fetched, so the
+    driver holds one block at a time. Queries without a vector are left out.
+    """
+    queries = queries.where("qvec is not null").select("qid", "qvec")
     n, dim = queries.agg(F.count("*"), F.coalesce(F.max(F.size("qvec")), F.lit(0))).first()
     blocks = max(1, -(-n * max(1, dim) * 8 // limit))
-    if blocks == 1:
-        return [queries.select("qid", "qvec").collect()]
-    block = F.pmod(F.xxhash64("qid"), F.lit(blocks))
-    return [queries.where(block == b).select("qid", "qvec").collect() for b in range(blocks)]
+    block, parts = F.pmod(F.xxhash64("qid"), F.lit(blocks)), []
+    for b in range(blocks):
+        rows = (queries if blocks == 1 else queries.where(block == b)).toPandas()
+        found = search(rows["qid"].to_numpy(np.int64), _matrix(rows["qvec"]))
+        parts.append(found if blocks == 1 else cut(found))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def exact_topk(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2", exclude_self: bool = False) -> DataFrame:
@@ -75,12 +84,12 @@ def exact_topk(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2",
     """
     if k < 1:
         raise ValueError("k must be positive")
-    spark = base.sparkSession
-    parts = []
-    for rows in query_blocks(queries.where("qvec is not null")):
-        shared = spark.sparkContext.broadcast((np.array([r.qid for r in rows], np.int64), np.array([r.qvec for r in rows], np.float64)))
+    rows = base.where("vec is not null").select("id", "vec")
 
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+    def search(qids: np.ndarray, q: np.ndarray) -> DataFrame:
+        shared = base.sparkSession.sparkContext.broadcast((qids, q))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             qids, q = shared.value
             for batch in batches:
                 if len(batch) and len(qids):
@@ -91,22 +100,34 @@ def exact_topk(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2",
                     r, c = _best(dist, ids, k)
                     yield pd.DataFrame({"qid": qids[r], "id": ids[c], "distance": dist[r, c]})
 
-        parts.append(base.where("vec is not null").select("id", "vec").mapInPandas(run, "qid long, id long, distance double"))
-    return rank_per_query(reduce(DataFrame.unionByName, parts), k)
-
+        return rows.mapInPandas(run, "qid long, id long, distance double")
 
-def knn_edges(base: DataFrame, k: int, metric: str = "l2") -> DataFrame:
-    """(src, pos, dst, distance): each row's k nearest others, in blocks of rows as queries."""
-    found = exact_topk(base.select(F.col("id").alias("qid"), F.col("vec").alias("qvec")), base, k, metric, exclude_self=True)
-    return found.select(F.col("qid").alias("src"), F.col("rank").alias("pos"), F.col("id").alias("dst"), "distance")
+    return rank_per_query(by_query_blocks(queries, search), k)
 
 
 def range_search(queries: DataFrame, base: DataFrame, radius: float) -> DataFrame:
-    """(qid, id, distance) within a squared radius; queries are broadcast in blocks."""
-    from vecspark.functions.vectors import l2
+    """(qid, id, distance) within a squared radius; queries come in blocks, as in exact_topk."""
+    rows = base.where("vec is not null").select("id", "vec")
+
+    def search(qids: np.ndarray, q: np.ndarray) -> DataFrame:
+        shared = base.sparkSession.sparkContext.broadcast((qids, q))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            qids, q = shared.value
+            for batch in batches:
+                if len(batch) and len(qids):
+                    dist = pairwise("l2", q, _matrix(batch["vec"]))
+                    r, c = np.nonzero(dist <= radius)
+                    yield pd.DataFrame({"qid": qids[r], "id": batch["id"].to_numpy()[c], "distance": dist[r, c]})
+
+        return rows.mapInPandas(run, "qid long, id long, distance double")
+
+    return by_query_blocks(queries, search)
 
-    d = base.crossJoin(F.broadcast(queries)).withColumn("distance", l2(F.col("vec"), F.col("qvec")))
-    return d.where(F.col("distance") <= radius).select("qid", "id", "distance")
+
+def entry_of(vec: np.ndarray) -> int:
+    """The row nearest to the mean; the first of equal ones."""
+    return int(np.argmin(((vec - vec.mean(0)) ** 2).sum(1)))
 
 
 def robust_prune(ids: np.ndarray, vec: np.ndarray, point: np.ndarray, degree: int, alpha: float = 1.2, pool: int = 750, saturate: bool = False) -> list[int]:
@@ -158,68 +179,27 @@ def build_graph(ids: np.ndarray, vec: np.ndarray, degree: int = 16, pool: int =
     return out
 
 
-def greedy_search(vec: np.ndarray, ids: np.ndarray, graph: list[np.ndarray], entry: int, query: np.ndarray, size: int) -> tuple[list[tuple[float, int]], int, int]:
-    """Best-first search with a list of `size`: ((distance, position) sorted, hops, distances computed)."""
-    seen, work = {entry}, 1
-    queue = [(float(((vec[entry] - query) ** 2).sum()), int(ids[entry]), entry, False)]
-    hops = 0
+def greedy_search(vec: np.ndarray, ids: np.ndarray, graph: list[np.ndarray], entry: int, query: np.ndarray, size: int, more: list[int] | None = None, keep: np.ndarray | None = None) -> tuple[list[tuple[float, int]], int, int]:
+    """Best-first search with a list of `size`: ((distance, position) sorted, hops, distances computed).
+
+    more: further entries. keep: which rows may be results; the walk goes through the others too, and has a
+    list of its own for the kept ones.
+    """
+    start = sorted({entry, *(more or [])})
+    seen, work = set(start), len(start)
+    queue = sorted((float(((vec[i] - query) ** 2).sum()), int(ids[i]), i) for i in start)
+    kept, done, hops = list(queue), set(), 0
     while True:
-        nxt = next((i for i, x in enumerate(queue) if not x[3]), None)
-        if nxt is None:
-            return [(x[0], x[2]) for x in queue], hops, work
-        d, i, at, _ = queue[nxt]
-        queue[nxt] = (d, i, at, True)
+        at = next((x[2] for x in queue if x[2] not in done), None)
+        if at is None:
+            return [(x[0], x[2]) for x in sorted(kept) if keep is None or keep[x[2]]][:size], hops, work
+        done.add(at)
         hops += 1
         fresh = np.array([j for j in graph[at] if j not in seen], np.int64)
         seen.update(fresh.tolist())
         if len(fresh):
             work += len(fresh)
             dist = ((vec[fresh] - query) ** 2).sum(1)
-            queue = sorted([*queue, *((float(a), int(ids[b]), int(b), False) for a, b in zip(dist, fresh, strict=True))])[:size]
-
-
-def graph_edges(base: DataFrame, shards: int, degree: int = 16, pool: int = 48, alpha: float = 1.2) -> DataFrame:
-    """(shard, src, pos, dst) of a proximity graph for each of `shards` hash shards of base (id, vec)."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id").drop_duplicates("id")
-        ids, vec = pdf["id"].to_numpy(), _matrix(pdf["vec"])
-        graph = build_graph(ids, vec, degree, pool, alpha)
-        sizes = [len(g) for g in graph]
-        return pd.DataFrame({"shard": pdf["shard"].iloc[0], "src": np.repeat(ids, sizes), "pos": np.concatenate([np.arange(s) for s in sizes] or [[]]).astype(np.int64), "dst": ids[np.concatenate(graph).astype(np.int64)] if graph else []})
-
-    sharded = base.where("vec is not null").withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
-    return sharded.select("shard", "id", "vec").groupBy("shard").applyInPandas(run, "shard long, src long, pos long, dst long")
-
-
-def graph_topk(queries: DataFrame, base: DataFrame, k: int, size: int = 64, degree: int = 16, shards: int | None = None) -> DataFrame:
-    """(qid, rank, id, distance) by graph search in every shard, merged: approximate.
-
-    A shard holds at most about SHARD_ROWS rows, so graphs are built and walked where their rows are and
-    nothing of them is broadcast; only the query matrix is, in blocks.
-    """
-    if size < k:
-        raise ValueError("the search list must hold k")
-    shards = shards or max(1, -(-base.count() // SHARD_ROWS))
-    parts = []
-    for rows in query_blocks(queries):
-        shared = base.sparkSession.sparkContext.broadcast([(r.qid, np.array(r.qvec, np.float64)) for r in rows])
-
-        sharded = base.where("vec is not null").withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
-        parts.append(sharded.select("shard", "id", "vec").groupBy("shard").applyInPandas(_shard_search(shared, k, size, degree), "qid long, id long, distance double"))
-    return rank_per_query(reduce(DataFrame.unionByName, parts), k)
-
-
-def _shard_search(shared, k: int, size: int, degree: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id").drop_duplicates("id")
-        ids, vec = pdf["id"].to_numpy(), _matrix(pdf["vec"])
-        graph = build_graph(ids, vec, degree)
-        entry = int(np.argmin(((vec - vec.mean(0)) ** 2).sum(1)))
-        out = []
-        for qid, q in shared.value:
-            found, _, _ = greedy_search(vec, ids, graph, entry, q, size)
-            out += [(qid, int(ids[i]), d) for d, i in found[:k]]
-        return pd.DataFrame(out, columns=["qid", "id", "distance"])
-
-    return run
+            new = [(float(a), int(ids[b]), int(b)) for a, b in zip(dist, fresh, strict=True)]
+            queue = sorted([*queue, *new])[:size]
+            kept = queue if keep is None else sorted([*kept, *(x for x in new if keep[x[2]])])[:size]

@@ -6,11 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vecspark.operators import relational as R
-from vecspark.operators import search as S
 from vecspark.sources import manifest
 from vecspark.streaming import apply_changes
 
-from .common import G_SQL, base, load, registrar
+from .common import G_SQL, base, load, near_graph, registrar
 
 REGISTRY, add = registrar()
 LOG = "L AS (SELECT event_id AS seq, user_id AS tag, CASE WHEN event_type IN (SELECT min(event_type) FROM events) THEN 'delete' ELSE 'insert' END AS op FROM events)"
@@ -43,7 +42,7 @@ def batched(spark, d):
 @add("j23_t5_delete_repair", f"WITH {G_SQL}, D AS (SELECT id FROM E WHERE id % 10 = 3), A AS (SELECT src, dst FROM G WHERE src NOT IN (SELECT id FROM D)), K AS (SELECT src, dst FROM A WHERE dst NOT IN (SELECT id FROM D) UNION SELECT A.src, G.dst FROM A JOIN G ON A.dst = G.src WHERE A.dst IN (SELECT id FROM D) AND G.dst NOT IN (SELECT id FROM D) AND A.src <> G.dst) SELECT src, dst FROM K")
 def repair(spark, d):
     e = base(spark, d)
-    return R.repair_edges(S.knn_edges(e, 8), e.where("id % 10 = 3").select("id"))
+    return R.repair_edges(near_graph(spark, d), e.where("id % 10 = 3").select("id"))
 
 
 @add("a39_consolidation_report", "SELECT count(*) AS total, count(*) FILTER (vec_id % 10 = 3) AS deleted, count(*) FILTER (vec_id % 10 <> 3) AS active FROM embeddings")
@@ -54,24 +53,21 @@ def report(spark, d):
 
 @add("t6_compaction", "SELECT vec_id AS old_id, row_number() OVER (ORDER BY vec_id) - 1 AS new_id FROM embeddings WHERE vec_id % 10 <> 3")
 def compact(spark, d):
-    """New dense ids: each range partition's rows are counted first, so no task sees all rows."""
-    e = load(spark, d, "embeddings").where("vec_id % 10 <> 3").select(F.col("vec_id").alias("old_id")).withColumn("block", F.floor(F.col("old_id") / 4096))
-    sizes = e.groupBy("block").agg(F.count("*").alias("n"))
-    first = sizes.withColumn("first", F.sum("n").over(Window.orderBy("block")) - F.col("n")).select("block", "first")
-    nth = F.row_number().over(Window.partitionBy("block").orderBy("old_id")) - 1
-    return e.join(first, "block").withColumn("nth", nth).select("old_id", (F.col("first") + F.col("nth")).cast("long").alias("new_id"))
+    """New dense ids, counted by ranges, so no task sees all rows."""
+    e = load(spark, d, "embeddings").where("vec_id % 10 <> 3").select(F.col("vec_id").alias("old_id"))
+    return R.numbered(e, "old_id", "new_id").select("old_id", "new_id")
 
 
 @add("u1_u3_pool_union", f"WITH {G_SQL} SELECT src, count(*) AS either, sum((n = 2)::INT)::BIGINT AS both FROM (SELECT src, dst, count(*) AS n FROM (SELECT src, dst FROM G WHERE pos <= 6 UNION ALL SELECT src, dst FROM G WHERE pos >= 4) GROUP BY ALL) GROUP BY src")
 def pools(spark, d):
-    g = S.knn_edges(base(spark, d), 8)
+    g = near_graph(spark, d)
     n = g.where("pos <= 6").select("src", "dst").unionByName(g.where("pos >= 4").select("src", "dst")).groupBy("src", "dst").agg(F.count("*").alias("n"))
     return n.groupBy("src").agg(F.count("*").alias("either"), F.sum((F.col("n") == 2).cast("long")).alias("both"))
 
 
 @add("u2_merge_shards", f"WITH {G_SQL}, M AS (SELECT src, dst, min(distance) AS distance FROM (SELECT src, dst, distance FROM G UNION ALL SELECT dst, src, distance FROM G) GROUP BY ALL) SELECT src, dst, pos FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY round(distance, 9), dst) AS pos FROM M) WHERE pos <= 10")
 def merge(spark, d):
-    g = S.knn_edges(base(spark, d), 8).select("src", "dst", "distance")
+    g = near_graph(spark, d).select("src", "dst", "distance")
     m = g.unionByName(g.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "distance")).groupBy("src", "dst").agg(F.min("distance").alias("distance"))
     pos = F.row_number().over(Window.partitionBy("src").orderBy(F.round("distance", 9), "dst")).cast("long")
     return m.withColumn("pos", pos).where("pos <= 10").select("src", "dst", "pos")

@@ -1,4 +1,8 @@
-"""Graph, importance, community, cell and trace queries. The graph is every row's 8 nearest others."""
+"""Graph, importance, community, cell and trace queries.
+
+The graph is every row's 8 nearest others in its shards, written once a session. While one shard holds all rows these
+are the 8 nearest of all, which is what the SQL says.
+"""
 
 from __future__ import annotations
 
@@ -8,17 +12,16 @@ from pyspark.sql import functions as F
 from vecspark.functions import vectors as V
 from vecspark.operators import partition as P
 from vecspark.operators import relational as R
-from vecspark.operators import search as S
 from vecspark.operators.lineage import cut
 
-from .common import E_SQL, G_SQL, L2, base, load, r6, registrar
+from .common import E_SQL, G_SQL, base, load, near_graph, r6, registrar
 
 REGISTRY, add = registrar()
 W_SQL = G_SQL + ", U AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(*) AS weight FROM G GROUP BY ALL)"
 
 
 def graph(spark, d):
-    return S.knn_edges(base(spark, d), 8)
+    return near_graph(spark, d)
 
 
 def members(spark, d):
@@ -77,8 +80,7 @@ EV = G_SQL + ", V AS (SELECT x.src AS source_id, w.dst AS witness_id, x.dst AS v
 
 def events(spark, d):
     """Prune events of the graph: nearer neighbours as witnesses of farther ones of the same source."""
-    e = base(spark, d)
-    g = S.knn_edges(e, 8)
+    e, g = base(spark, d), graph(spark, d)
     pairs = g.select(F.col("src").alias("source_id"), F.col("dst").alias("victim_id"), F.col("distance").alias("d2"), "pos").join(g.select(F.col("src").alias("source_id"), F.col("dst").alias("witness_id"), F.col("pos").alias("wpos")), "source_id").where("wpos < pos")
     v = pairs.join(e.select(F.col("id").alias("victim_id"), F.col("vec").alias("vv")), "victim_id").join(e.select(F.col("id").alias("witness_id"), F.col("vec").alias("wv")), "witness_id")
     return v.withColumn("credit", V.event_credit(F.col("d2"), V.l2(F.col("wv"), F.col("vv")), F.lit(None).cast("double"), 0.9, squared=True))
@@ -93,9 +95,9 @@ def saturation(spark, d):
     return R.noisy_or(events(spark, d)).select("source_id", "witness_id", r6("saturation"), "events")
 
 
-@add("a15_w3_importance", f"WITH {EV} SELECT id, round(raw, 6) AS raw, round(raw / (max(raw) OVER () + 1e-12), 6) AS normalized, source_support, witness_events FROM R")
+@add("a15_w3_importance", f"WITH {EV} SELECT id, round(raw, 6) AS raw, round(raw / (max(raw) OVER () + 1e-12), 6) AS normalized, CASE WHEN max(raw) OVER () > 0 THEN round(cume_dist() OVER (ORDER BY round(raw, 9)), 6) ELSE 0 END AS percentile, source_support, witness_events FROM R")
 def node_importance(spark, d):
-    return importance(spark, d).select("id", r6("raw"), r6("normalized"), "source_support", "witness_events")
+    return importance(spark, d).select("id", r6("raw"), r6("normalized"), r6("percentile"), "source_support", "witness_events")
 
 
 @add("w2_hub_ratio", f"WITH {EV} SELECT id, rank FROM (SELECT id, row_number() OVER (ORDER BY round(raw, 9) DESC, id) AS rank, count(*) OVER () AS n FROM R) WHERE rank <= ceil(n * 0.05)")
@@ -181,9 +183,8 @@ def trim(spark, d):
 
 @add("v28_page_layout", "WITH X AS (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) - 1 AS slot FROM embeddings) SELECT id, slot // 16 AS page, (slot % 16) * 256 AS \"offset\" FROM X")
 def layout(spark, d):
-    e = load(spark, d, "embeddings").select(F.col("vec_id").alias("id"))
-    slot = F.row_number().over(Window.orderBy("id")) - 1
-    return e.withColumn("slot", slot).select("id", F.floor(F.col("slot") / 16).alias("page"), ((F.col("slot") % 16) * 256).cast("long").alias("offset"))
+    e = R.numbered(load(spark, d, "embeddings").select(F.col("vec_id").alias("id")), "id", "slot")
+    return e.select("id", F.floor(F.col("slot") / 16).alias("page"), ((F.col("slot") % 16) * 256).cast("long").alias("offset"))
 
 
 @add("w8_page_runs", "WITH P AS (SELECT DISTINCT user_id AS q, event_id // 7 AS page FROM events), R AS (SELECT q, page, page - row_number() OVER (PARTITION BY q ORDER BY page) AS g FROM P) SELECT q, min(page) AS first, max(page) AS last, count(*) AS pages FROM R GROUP BY q, g")
@@ -222,9 +223,9 @@ def coverage(spark, d):
 
 @add("a30_u6_f11_pair_metrics", f"WITH {TR}, C AS (SELECT DISTINCT query_id, cell FROM TR), J AS (SELECT x.cell AS a, y.cell AS b, count(*) AS joint FROM C x JOIN C y ON x.query_id = y.query_id AND x.cell < y.cell GROUP BY ALL), N AS (SELECT cell, count(*) AS n FROM C GROUP BY cell) SELECT a, b, joint, x.n + y.n - joint AS either, CASE WHEN joint < 4 THEN 'joint' WHEN joint * 10 < 3 * (x.n + y.n - joint) THEN 'coaccess' ELSE 'accepted' END AS verdict FROM J JOIN N x ON a = x.cell JOIN N y ON b = y.cell")
 def pair_metrics(spark, d):
-    """Cells touched by the same query; a query touches at most its list of 8, so pairs stay linear."""
+    """Cells touched by the same query: a trace has at most 8 nodes, so a query has at most 28 pairs."""
     c = trace(spark, d).select("query_id", "cell").distinct()
-    cells = c.groupBy("query_id").agg(F.array_sort(F.collect_list("cell")).alias("cs")).where(F.size("cs") <= 64)
+    cells = c.groupBy("query_id").agg(F.array_sort(F.collect_list("cell")).alias("cs"))
     j = cells.select(F.posexplode("cs").alias("i", "a"), "cs").select("a", F.explode(F.slice("cs", F.col("i") + 2, F.size("cs"))).alias("b")).groupBy("a", "b").agg(F.count("*").alias("joint"))
     n = c.groupBy("cell").agg(F.count("*").alias("n"))
     x = j.join(n.select(F.col("cell").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("cell").alias("b"), F.col("n").alias("nb")), "b")

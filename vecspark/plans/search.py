@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vecspark.functions import budgets
 from vecspark.functions import vectors as V
+from vecspark.operators import index as I
+from vecspark.operators import pq as Q
 from vecspark.operators import relational as R
 from vecspark.operators import search as S
+from vecspark.operators.lineage import cut, shared_folder
 
-from .common import DOT, E_SQL, L2, S_SQL, base, load, query_set, r6, registrar
+from .common import DOT, E_SQL, L2, S_SQL, base, kept, load, query_set, r6, registrar, vec_sql, vec_text
 
 REGISTRY, add = registrar()
-QV = "Q AS (SELECT id AS qid, vec AS qvec FROM E WHERE id < 20)"
+QV = "Q AS (SELECT id AS qid, vec AS qvec FROM E WHERE id % 20 = 0)"
 D_L2, D_DOT = L2.format(a="vec", b="qvec"), DOT.format(a="vec", b="qvec")
 N2 = lambda v: f"list_sum(list_transform({v}, lambda x: x * x))"
 
@@ -38,27 +44,39 @@ _metric("inner_product", "ip", f"-{D_DOT}", -1.0)
 _metric("fast_l2", "fast_l2", f"{N2('vec')} - 2 * {D_DOT}")
 
 
-@add("v1_l2_expression", f"WITH {S_SQL}, {QV} SELECT qid, id, round({D_L2}, 6) AS distance FROM E, Q")
+def with_query(e):
+    """Each row beside the query whose id is the last one divisible by 20: an equi-join, a pair a row."""
+    return e.join(query_set(e), F.col("qid") == F.col("id") - F.col("id") % 20)
+
+
+@add("v1_l2_expression", f"WITH {S_SQL}, {QV} SELECT qid, id, round({D_L2}, 6) AS distance FROM E JOIN Q ON qid = id - id % 20")
 def l2_expression(spark, d):
-    e = base(spark, d, scaled=True)
-    return e.join(F.broadcast(query_set(e))).select("qid", "id", F.round(V.l2(F.col("vec"), F.col("qvec")), 6).alias("distance"))
+    return with_query(base(spark, d, scaled=True)).select("qid", "id", F.round(V.l2(F.col("vec"), F.col("qvec")), 6).alias("distance"))
 
 
-@add("v2_v12_u8_l2", f"WITH {E_SQL}, U AS (SELECT id, list_transform(vec, lambda x: least(255, greatest(0, round((x + 1) * 127.5)))::INT) AS vec FROM E), Q AS (SELECT id AS qid, vec AS qvec FROM U WHERE id < 20) SELECT qid, id, {D_L2}::BIGINT AS distance FROM U, Q")
-def u8_l2(spark, d):
-    u = base(spark, d).select("id", V.quantize_u8(F.col("vec"), 127.5, 1.0).alias("vec"))
-    return u.join(F.broadcast(query_set(u))).select("qid", "id", V.l2(F.col("vec"), F.col("qvec")).cast("long").alias("distance"))
+@add("v2_v12_u8_l2", f"WITH {E_SQL}, U AS (SELECT id, list_transform(vec, lambda x: least(255, greatest(0, round((x + 1) * 127.5)))::INT) AS vec, list_transform(vec, lambda x: least(127, greatest(-128, round(x * 127)))::INT) AS i8 FROM E) SELECT b.id, {L2.format(a='b.vec', b='q.vec')}::BIGINT AS u8, {L2.format(a='b.i8', b='q.i8')}::BIGINT AS i8 FROM U b JOIN U q ON q.id = b.id - b.id % 20")
+def byte_l2(spark, d):
+    """Squared distances of the vectors as unsigned and as signed bytes."""
+    e = base(spark, d)
+    u = with_query(e.select("id", V.quantize_u8(F.col("vec"), 127.5, 1.0).alias("vec"))).select("id", V.l2(F.col("vec"), F.col("qvec")).cast("long").alias("u8"))
+    i = with_query(e.select("id", V.quantize_i8(F.col("vec"), 127.0).alias("vec"))).select("id", V.l2(F.col("vec"), F.col("qvec")).cast("long").alias("i8"))
+    return u.join(i, "id")
+
 
+UNIT = "list_transform(vec, lambda x: x / sqrt({n}))"
 
-@add("v5_v8_normalize", f"WITH {S_SQL} SELECT id, round(sqrt({N2('vec')}), 6) AS norm, round(list_sum(list_transform(vec, lambda x: x / sqrt({N2('vec')}))), 6) AS unit_sum FROM E")
+
+@add("v5_v8_normalize", f"WITH {S_SQL}, U AS (SELECT id, {N2('vec')} AS n, {UNIT.format(n=N2('vec'))} AS unit FROM E) SELECT b.id, round(sqrt(b.n), 6) AS norm, {vec_sql('b.unit')} AS unit, round(1 - {DOT.format(a='b.unit', b='q.unit')}, 6) + 0.0::DOUBLE AS distance FROM U b JOIN U q ON q.id = b.id - b.id % 20")
 def normalize(spark, d):
-    e = base(spark, d, scaled=True)
-    return e.select("id", F.round(F.sqrt(V.squared_norm(F.col("vec"))), 6).alias("norm"), F.round(V._sum(V.normalize(F.col("vec"))), 6).alias("unit_sum"))
+    """Norms, unit vectors, and the normalised cosine distance to a query."""
+    e = base(spark, d, scaled=True).withColumn("norm", F.sqrt(V.squared_norm(F.col("vec")))).withColumn("vec", V.normalize(F.col("vec")))
+    distance = F.round(1 - V.dot(F.col("vec"), F.col("qvec")), 6) + 0.0
+    return with_query(e).select("id", F.round("norm", 6).alias("norm"), vec_text(F.col("vec")).alias("unit"), distance.alias("distance"))
 
 
-@add("v9_normalize_file", f"WITH {S_SQL} SELECT id, round(list_sum(list_transform(vec, lambda x: x / sqrt({N2('vec')} + 1.1920928955078125e-07))), 6) AS unit_sum FROM E")
+@add("v9_normalize_file", f"WITH {S_SQL} SELECT id, {vec_sql(UNIT.format(n=N2('vec') + ' + 1.1920928955078125e-07'))} AS unit FROM E")
 def normalize_file(spark, d):
-    return base(spark, d, scaled=True).select("id", F.round(V._sum(V.normalize(F.col("vec"), V.FILE_EPSILON)), 6).alias("unit_sum"))
+    return base(spark, d, scaled=True).select("id", vec_text(V.normalize(F.col("vec"), V.FILE_EPSILON)).alias("unit"))
 
 
 @add("v10_mips_to_l2", f"WITH {S_SQL}, M AS (SELECT max(sqrt({N2('vec')})) AS m FROM E) SELECT id, len(vec) + 1 AS dim, round(sqrt(greatest(0, 1 - {N2('vec')} / (m * m))), 6) AS last FROM E, M")
@@ -127,12 +145,14 @@ def range_percentiles(spark, d):
     return o.join(F.broadcast(p), F.col("i") == F.least(F.floor(F.col("percent") * F.col("c") / 100), F.col("c") - 1)).select("percent", "n")
 
 
-C_SQL = "C AS (SELECT id AS center, vec AS cvec FROM E WHERE id < 16)"
+CENT = "CT AS (SELECT label, list(m ORDER BY i) AS centroid FROM (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM E) GROUP BY label, i) GROUP BY label)"
+C_SQL = CENT + ", C AS (SELECT label AS center, centroid AS cvec FROM CT)"
 NEAR = f"N AS (SELECT id, rank, center, distance FROM (SELECT id, center, {L2.format(a='vec', b='cvec')} AS distance, row_number() OVER (PARTITION BY id ORDER BY {L2.format(a='vec', b='cvec')}, center) AS rank FROM E, C) WHERE rank <= 3)"
 
 
 def centers(e):
-    return e.where("id < 16").select(F.col("id").alias("center"), F.col("vec").alias("cvec"))
+    """The centroids of the labels, one a label."""
+    return R.centroid(e, "label").select(F.col("label").alias("center"), F.col("centroid").alias("cvec"))
 
 
 @add("j2_nearest_centers", f"WITH {E_SQL}, {C_SQL}, {NEAR} SELECT id, rank, center, round(distance, 6) AS distance FROM N")
@@ -155,13 +175,12 @@ def residuals(spark, d):
     return n.select("id", F.round(V._sum(F.transform(V.subtract(F.col("vec"), F.col("cvec")), lambda x: F.abs(x))), 6).alias("residual"))
 
 
-CENT = "CT AS (SELECT label, list(m ORDER BY i) AS centroid FROM (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM E) GROUP BY label, i) GROUP BY label)"
 
 
-@add("a1_centroids", f"WITH {E_SQL}, {CENT} SELECT label, len(centroid) AS dim, round(list_sum(list_transform(centroid, lambda x: x * x)), 6) AS norm2, round(centroid[1], 6) AS first FROM CT")
+@add("a1_centroids", f"WITH {E_SQL}, {CENT} SELECT label, {vec_sql('centroid')} AS centroid FROM CT")
 def centroids(spark, d):
     c = R.centroid(base(spark, d), "label")
-    return c.select("label", F.size("centroid").cast("long").alias("dim"), F.round(V.squared_norm(F.col("centroid")), 6).alias("norm2"), F.round(F.get("centroid", F.lit(0)), 6).alias("first"))
+    return c.select("label", vec_text(F.col("centroid")).alias("centroid"))
 
 
 MED = f"X AS (SELECT E.label, id, {L2.format(a='vec', b='centroid')} AS distance FROM E JOIN CT ON E.label = CT.label)"
@@ -179,110 +198,140 @@ def geometry(spark, d):
     return x.groupBy("label").agg(F.count("*").alias("node_count"), F.round(F.sqrt(F.max("distance")), 6).alias("radius"), F.round(F.sqrt(F.avg("distance")), 6).alias("rms"), F.round(F.sum("distance"), 6).alias("sse"))
 
 
-@add("a5_lloyd_step", f"WITH {E_SQL}, {C_SQL}, {NEAR}, A AS (SELECT center AS label, vec FROM E JOIN N ON E.id = N.id AND rank = 1), {CENT.replace('FROM E)', 'FROM A)')} SELECT label AS center, round(list_sum(list_transform(centroid, lambda x: x * x)), 6) AS norm2 FROM CT")
+@add("a5_lloyd_step", f"WITH {E_SQL}, {C_SQL}, {NEAR}, A AS (SELECT center AS label, vec FROM E JOIN N ON E.id = N.id AND rank = 1), {CENT.replace('CT AS', 'LT AS').replace('FROM E)', 'FROM A)')} SELECT label AS center, {vec_sql('centroid')} AS centroid FROM LT")
 def lloyd(spark, d):
     e = base(spark, d)
     a = e.join(R.nearest_centers(e, centers(e), 1).select("id", "center"), "id")
-    return R.centroid(a, "center").select("center", F.round(V.squared_norm(F.col("centroid")), 6).alias("norm2"))
+    return R.centroid(a, "center").select("center", vec_text(F.col("centroid")).alias("centroid"))
 
 
-CHUNKS, CODES = 8, 16
-PQ_SQL = f"P AS (SELECT id AS code, k AS chunk, vec[k * 8 + 1 : k * 8 + 8] AS cvec FROM E, (SELECT unnest(range(8)) AS k) WHERE id < {CODES}), V AS (SELECT id, k AS chunk, vec[k * 8 + 1 : k * 8 + 8] AS v FROM E, (SELECT unnest(range(8)) AS k)), K AS (SELECT id, chunk, code FROM (SELECT id, V.chunk, code, row_number() OVER (PARTITION BY id, V.chunk ORDER BY {L2.format(a='v', b='cvec')}, code) AS r FROM V JOIN P ON V.chunk = P.chunk) WHERE r = 1)"
+#: Chunks of 4 coordinates with 256 codes each, and candidates that are refined by their vectors.
+CHUNKS, POOL = 16, 100
 
 
-def pq_codebook(e):
-    """A deterministic codebook: the chunks of the first rows. (chunks: array of arrays of centres)."""
-    cut = F.array(*[F.slice("vec", i * 8 + 1, 8) for i in range(CHUNKS)])
-    return e.where(F.col("id") < CODES).agg(F.transform(F.array_sort(F.collect_list(F.struct("id", cut.alias("c")))), lambda p: p["c"]).alias("book"))
+def codebook(spark, d):
+    """Trained once a session on a bounded sample of the vectors."""
+    return kept(spark, d, "codebook", lambda: Q.train_codebook(I.sample_matrix(base(spark, d)), CHUNKS))
 
 
-def pq_codes(e):
-    """(id, codes): of each chunk the nearest centre, all inside one projection over a broadcast book."""
-    def code(j):
-        part = F.slice("vec", j * 8 + 1, 8)
-        scored = F.transform("book", lambda c, i: F.struct(V.l2(part, F.get(c, F.lit(j))).alias("d"), i.cast("long").alias("i")))
-        return F.array_min(scored)["i"]
+def coded(spark, d):
+    return kept(spark, d, "codes", lambda: Q.encode_table(base(spark, d), codebook(spark, d)))
 
-    return e.join(F.broadcast(pq_codebook(e))).select("id", F.array(*[code(j) for j in range(CHUNKS)]).alias("codes"))
 
+def holds(spark, **named):
+    """(name, holds): measured properties, true where they hold."""
+    return spark.createDataFrame([(k, bool(v)) for k, v in named.items()], "name string, holds boolean")
 
-@add("a8_pq_encode", f"WITH {E_SQL}, {PQ_SQL} SELECT id, chunk, code FROM K")
-def encode(spark, d):
-    return pq_codes(base(spark, d)).select("id", F.posexplode("codes").alias("chunk", "code")).select("id", F.col("chunk").cast("long").alias("chunk"), "code")
+
+def holds_sql(*names):
+    """All of them should hold."""
+    return "SELECT unnest([" + ", ".join(f"'{n}'" for n in names) + "]) AS name, true AS holds"
 
 
-LUT_SQL = f"Q AS (SELECT id AS qid, k AS chunk, vec[k * 8 + 1 : k * 8 + 8] AS qv FROM E, (SELECT unnest(range(8)) AS k) WHERE id < 20), T AS (SELECT qid, Q.chunk, code, {L2.format(a='qv', b='cvec')} AS d FROM Q JOIN P ON Q.chunk = P.chunk)"
-ADC = "S AS (SELECT qid, id, sum(d) AS distance FROM T JOIN K ON T.chunk = K.chunk AND T.code = K.code GROUP BY qid, id), A AS (SELECT * FROM (SELECT qid, id, distance, row_number() OVER (PARTITION BY qid ORDER BY round(distance, 9), id) AS rank FROM S) WHERE rank <= 30)"
+def mean_recall(spark, d, found, k=10):
+    """Mean share, from 0 to 1, of the k nearest that were found for the query set, against brute force."""
+    e = base(spark, d)
+    truth = kept(spark, d, "truth", lambda: S.exact_topk(query_set(e), e, 20).withColumn("distance", F.round("distance", 9)))
+    return R.recall_at_k(found, truth, k).agg(F.avg("recall") / 100).first()[0]
+
 
+@add("a4_a6_pq_train", "SELECT unnest(range(16)) AS chunk, 256 AS codes, true AS under_half")
+def pq_train(spark, d):
+    """Of each chunk the codes, and whether quantising leaves under half of the spread."""
+    x, book = I.sample_matrix(base(spark, d)), codebook(spark, d)
+    left = (Q.decode(book, Q.encode(book, x)) - x) ** 2
+    spread = (x - x.mean(0)) ** 2
+    rows = [(i, len(book[i]), bool(left[:, 4 * i : 4 * i + 4].sum() * 2 < spread[:, 4 * i : 4 * i + 4].sum())) for i in range(CHUNKS)]
+    return spark.createDataFrame(rows, "chunk long, codes int, under_half boolean")
 
-def pq_lut(e):
-    """(qid, lut): the distance of every centre (outer: code) in every chunk (inner), a few KB a query."""
-    row = F.transform("book", lambda c: F.array(*[V.l2(F.slice("qvec", j * 8 + 1, 8), F.get(c, F.lit(j))) for j in range(CHUNKS)]))
-    return query_set(e).join(F.broadcast(pq_codebook(e))).select("qid", "qvec", row.alias("lut"))
 
+@add("a8_pq_encode", "SELECT vec_id AS id, 16 AS chunks, true AS nearest FROM embeddings")
+def encode(spark, d):
+    """Whether no other code of a chunk is nearer, by the distances of a row's own table."""
+    book = codebook(spark, d)
 
-def adc_topk(e, k):
-    scored = pq_codes(e).join(F.broadcast(pq_lut(e))).withColumn("distance", V._sum(F.transform("codes", lambda c, j: F.get(F.get(F.col("lut"), c.cast("int")), j))))
-    order = Window.partitionBy("qid").orderBy(F.round("distance", 9), "id")
-    return scored.select("qid", "id", "distance").withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+    def run(batches):
+        for b in batches:
+            if len(b):
+                codes = np.vstack(b["codes"].to_list()).astype(np.int64)
+                table = Q.tables(book, S._matrix(b["vec"]))
+                own = np.take_along_axis(table, codes[:, :, None], 2)[:, :, 0]
+                yield pd.DataFrame({"id": b["id"], "chunks": np.full(len(b), codes.shape[1], np.int32), "nearest": (own <= table.min(2) + 1e-9).all(1)})
 
+    return coded(spark, d).mapInPandas(run, "id long, chunks int, nearest boolean")
 
-@add("j9_pq_adc_topk", f"WITH {E_SQL}, {PQ_SQL}, {LUT_SQL}, {ADC} SELECT qid, rank, id, round(distance, 6) AS distance FROM A")
+
+@add("j9_pq_adc_topk", holds_sql("recall_10_of_30"))
 def adc(spark, d):
-    return adc_topk(base(spark, d), 30).select("qid", "rank", "id", r6("distance"))
+    """Of the 10 nearest at least 0.9 are among the 30 with the least code distances."""
+    e = base(spark, d)
+    found = Q.adc_topk(query_set(e), coded(spark, d), codebook(spark, d), 30)
+    return holds(spark, recall_10_of_30=mean_recall(spark, d, found.withColumn("rank", F.lit(1))) >= 0.9)
 
 
-@add("j18_pq_refine", f"WITH {E_SQL}, {PQ_SQL}, {LUT_SQL}, {ADC}, X AS (SELECT A.qid, A.id, {L2.format(a='b.vec', b='q.vec')} AS distance FROM A JOIN E b ON A.id = b.id JOIN E q ON A.qid = q.id) SELECT qid, rank, id, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS rank FROM X) WHERE rank <= 10")
+@add("j18_pq_refine", _topk_sql(D_L2, E_SQL))
 def refine(spark, d):
+    """The 10 nearest among the POOL candidates by codes; the SQL is exact search."""
     e = base(spark, d)
-    x = adc_topk(e, 30).select("qid", "id").join(e, "id").join(F.broadcast(query_set(e)), "qid").withColumn("distance", V.l2(F.col("vec"), F.col("qvec")))
-    return S.rank_per_query(x.select("qid", "id", "distance"), 10).select("qid", "rank", "id", r6("distance"))
+    q = query_set(e)
+    return Q.refine(q, Q.adc_topk(q, coded(spark, d), codebook(spark, d), POOL), e, 10).select("qid", "rank", "id", r6("distance"))
 
 
-@add("j10_pq_inflate", f"WITH {E_SQL}, {PQ_SQL} SELECT K.id, round(sum({L2.format(a='v', b='cvec')}), 6) AS error FROM K JOIN P ON K.chunk = P.chunk AND K.code = P.code JOIN V ON V.id = K.id AND V.chunk = K.chunk GROUP BY K.id")
+@add("j10_pq_inflate", holds_sql("inflated_error", "ip_table", "symmetric"))
 def inflate(spark, d):
+    """Inflated vectors are off by what their codes' tables say, and code products and distances agree with theirs."""
+    book = codebook(spark, d)
+    rows = coded(spark, d).join(Q.reconstruction(coded(spark, d), book), "id").where("id % 20 = 0").orderBy("id").limit(1000).toPandas()
+    x, codes = S._matrix(rows["vec"]), np.vstack(rows["codes"].to_list()).astype(np.int64)
+    back, at = Q.decode(book, codes), np.arange(CHUNKS)
+    l2 = np.array([t[at, c].sum() for t, c in zip(Q.tables(book, x), codes, strict=True)])
+    ip = np.array([t[at, c].sum() for t, c in zip(Q.tables(book, x, "ip"), codes, strict=True)])
+    pair = Q.code_distance(book, codes[:-1], codes[1:])
+    return holds(spark, inflated_error=np.allclose(l2, rows["error"]), ip_table=np.allclose(-ip, (x * back).sum(1)), symmetric=np.allclose(pair, ((back[1:] - back[:-1]) ** 2).sum(1)))
+
+
+@add("j12_lut_u8", holds_sql("u8_within_step", "u16_within_step", "u16_recall"))
+def lut_bits(spark, d):
+    """Distances by tables of 8 and 16 bits are off by at most half a step a chunk; those of 16 bits find as much."""
     e = base(spark, d)
-    back = F.flatten(F.array(*[F.get(F.get(F.col("book"), F.get("codes", F.lit(j)).cast("int")), F.lit(j)) for j in range(CHUNKS)]))
-    return pq_codes(e).join(e, "id").join(F.broadcast(pq_codebook(e))).select("id", F.round(V.l2(F.col("vec"), back), 6).alias("error"))
+    t = Q.tables(codebook(spark, d), I.sample_matrix(e, 200))
+    near = {}
+    for bits in (8, 16):
+        whole, step, low = Q.quantized(t, bits)
+        near[bits] = (np.abs(whole * step[:, None, None] + low[:, :, None] - t) <= step[:, None, None] * 0.5000001).all() and 0 <= whole.min() <= whole.max() < 1 << bits
+    found = Q.adc_topk(query_set(e), coded(spark, d), codebook(spark, d), 30, bits=16)
+    return holds(spark, u8_within_step=near[8], u16_within_step=near[16], u16_recall=mean_recall(spark, d, found.withColumn("rank", F.lit(1))) >= 0.9)
 
 
-@add("j12_lut_u8", f"WITH {E_SQL}, {PQ_SQL}, {LUT_SQL}, M AS (SELECT qid, chunk, min(d) AS low, max(d) AS high FROM T GROUP BY qid, chunk), Z AS (SELECT qid, max(high - low) / 255 AS step FROM M GROUP BY qid) SELECT T.qid, T.chunk, code, round((d - low) / step)::BIGINT AS q FROM T JOIN M ON T.qid = M.qid AND T.chunk = M.chunk JOIN Z ON T.qid = Z.qid")
-def lut_u8(spark, d):
-    t = pq_lut(base(spark, d)).select("qid", F.posexplode("lut").alias("code", "row")).select("qid", F.col("code").cast("long").alias("code"), F.posexplode("row").alias("chunk", "d"))
-    m = t.groupBy("qid", "chunk").agg(F.min("d").alias("low"), F.max("d").alias("high"))
-    z = m.groupBy("qid").agg((F.max(F.col("high") - F.col("low")) / 255).alias("step"))
-    return t.join(m, ["qid", "chunk"]).join(z, "qid").select("qid", F.col("chunk").cast("long").alias("chunk"), "code", F.round((F.col("d") - F.col("low")) / F.col("step")).cast("long").alias("q"))
-
-
-@add("j11_pq_chunk_subset", f"WITH {E_SQL}, {PQ_SQL}, {LUT_SQL} SELECT qid, id, round(sum(d) * 2, 6) AS distance FROM T JOIN K ON T.chunk = K.chunk AND T.code = K.code WHERE T.chunk % 2 = 0 GROUP BY qid, id")
+@add("j11_pq_chunk_subset", holds_sql("all_chunks", "half_of_them"))
 def subset(spark, d):
+    """Scoring every chunk is scoring all; every second one, scaled up, still finds most of the 10 among 100."""
     e = base(spark, d)
-    part = F.filter(F.transform("codes", lambda c, j: F.when(j % 2 == 0, F.get(F.get(F.col("lut"), c.cast("int")), j))), lambda x: x.isNotNull())
-    return pq_codes(e).join(F.broadcast(pq_lut(e))).select("qid", "id", F.round(V._sum(part) * 2, 6).alias("distance"))
+    q, book, codes = query_set(e), codebook(spark, d), coded(spark, d)
+    half = mean_recall(spark, d, Q.adc_topk(q, codes, book, POOL, subset=2).withColumn("rank", F.lit(1)))
+    a, b = Q.adc_topk(q, codes, book, 5), Q.adc_topk(q, codes, book, 5, subset=1)
+    return holds(spark, all_chunks=a.exceptAll(b).count() == 0, half_of_them=half >= 0.5)
 
 
-@add("a6_pq_train")
-def pq_train(spark, d):
-    """Codebooks of 16 centres a chunk by seeded Lloyd rounds on a bounded sample; one task a chunk."""
-    import pandas as pd
+@add("j13_disk_pq_distance", holds_sql("code_distance_of_expanded"))
+def disk_pq(spark, d):
+    """Where vectors are kept as codes, a row's distance is that to its inflated vector."""
+    e, book = base(spark, d), codebook(spark, d)
+    rows = coded(spark, d).where("id % 20 = 0").orderBy("id").limit(500).toPandas()
+    x, codes = S._matrix(rows["vec"]), np.vstack(rows["codes"].to_list()).astype(np.int64)
+    found = Q.adc_topk(query_set(e).where(F.col("qid") == int(rows["id"][0])), coded(spark, d).where("id % 20 = 0"), book, 500).toPandas().set_index("id")["distance"]
+    want = ((Q.decode(book, codes) - x[0]) ** 2).sum(1)
+    return holds(spark, code_distance_of_expanded=np.allclose(found.loc[rows["id"]].to_numpy(), want, atol=1e-6))
 
-    e = base(spark, d)
-    sample = e.orderBy(F.xxhash64("id")).limit(20_000).select("id", F.posexplode(F.array(*[F.slice("vec", j * 8 + 1, 8) for j in range(CHUNKS)])).alias("chunk", "v"))
 
-    def train(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.vstack(pdf.sort_values("id")["v"].to_list())
-        rng = np.random.default_rng(int(pdf["chunk"].iloc[0]))
-        c = [x[0]]
-        for _ in range(CODES - 1):  # the next centre with probability by squared distance
-            near = np.min([((x - y) ** 2).sum(1) for y in c], axis=0)
-            c.append(x[rng.choice(len(x), p=near / near.sum())] if near.sum() else x[0])
-        c = np.array(c)
-        for _ in range(12):
-            own = np.argmin(S.pairwise("l2", x, c), axis=1)
-            c = np.array([x[own == i].mean(0) if (own == i).any() else np.zeros(x.shape[1]) for i in range(CODES)])
-        return pd.DataFrame({"chunk": pdf["chunk"].iloc[0], "code": range(CODES), "center": list(c)})
-
-    return sample.groupBy("chunk").applyInPandas(train, "chunk int, code long, center array<double>")
+@add("a9_opq_rotation", holds_sql("orthogonal", "no_worse"))
+def opq(spark, d):
+    """The rotation is orthogonal, and codes of rotated vectors lose no more than those of the vectors."""
+    x = I.sample_matrix(base(spark, d), 2000)
+    r, book = Q.train_rotation(x, 8, 64)
+    plain = Q.train_codebook(x, 8, 64)
+    loss = lambda c, y: float(((Q.decode(c, Q.encode(c, y)) - y) ** 2).sum())
+    return holds(spark, orthogonal=np.allclose(r @ r.T, np.eye(len(r)), atol=1e-8), no_worse=loss(book, x @ r) <= loss(plain, x) * 1.01)
 
 
 @add("a7_pq_chunk_bounds", "SELECT d.d AS dim, c.c AS chunks, i AS chunk, i * (d.d // c.c) + least(i, d.d % c.c) AS first FROM (SELECT unnest([7, 64, 100, 128]) AS d) d, (SELECT unnest([1, 3, 7]) AS c) c, (SELECT unnest(range(8)) AS i) WHERE i <= c.c")
@@ -297,11 +346,12 @@ def budget_table(spark, d):
     return spark.createDataFrame(rows, "search_l int, approach long, refine long, hops long, cells long")
 
 
-@add("a16_recall", f"WITH {E_SQL}, {PQ_SQL}, {LUT_SQL}, {ADC}, GT AS (SELECT q.id AS qid, b.id, {L2.format(a='b.vec', b='q.vec')} AS distance FROM E b, E q WHERE q.id < 20), R AS (SELECT *, rank() OVER (PARTITION BY qid ORDER BY distance) AS r FROM GT), W AS (SELECT * FROM R WHERE r <= 10) SELECT W.qid, count(A.id) * 100.0::DOUBLE / 10 AS recall FROM W LEFT JOIN A ON A.qid = W.qid AND A.id = W.id AND A.rank <= 10 GROUP BY W.qid")
+@add("a16_recall", f"WITH {E_SQL}, {QV}, D AS (SELECT qid, id, {D_L2} AS distance FROM E, Q), R AS (SELECT *, rank() OVER (PARTITION BY qid ORDER BY round(distance, 9)) AS r FROM D), F AS (SELECT * FROM D WHERE id % 3 <> 0), A AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS k FROM F) WHERE k <= 10) SELECT R.qid, count(A.id) * 100.0::DOUBLE / 10 AS recall FROM R LEFT JOIN A ON A.qid = R.qid AND A.id = R.id WHERE R.r <= 10 GROUP BY R.qid")
 def recall(spark, d):
+    """Of an index that lacks a third of the rows."""
     e = base(spark, d)
-    truth = S.exact_topk(query_set(e), e, 20).withColumn("distance", F.round("distance", 12))
-    return R.recall_at_k(adc_topk(e, 10), truth, 10)
+    truth = S.exact_topk(query_set(e), e, 20).withColumn("distance", F.round("distance", 9))
+    return R.recall_at_k(S.exact_topk(query_set(e), e.where("id % 3 <> 0"), 10), truth, 10)
 
 
 @add("a18_floor_percentiles", "WITH X AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, value AS p95 FROM X WHERE i = least(floor(n * 0.95), n - 1)")
@@ -337,26 +387,30 @@ def blocks(spark, d):
     return polar(spark, d).groupBy("label", F.floor((F.col("n") - 1) / 8).alias("block")).agg(F.count("*").alias("node_count"), F.round(F.min("r"), 6).alias("min_radius"), F.round(F.max("r"), 6).alias("max_radius"))
 
 
-AX = "A AS (SELECT id AS axis, vec AS avec FROM E WHERE id < 16)"
+AX = CENT + ", A AS (SELECT label AS axis, centroid AS avec FROM CT)"
 
 
-@add("v17_v20_direction_bins", f"WITH {E_SQL}, {AX}, D AS (SELECT E.id, axis, {DOT.format(a='vec', b='avec')} AS d FROM E, A) SELECT id, axis AS direction_bin, axis * 4 + id % 4 AS cell FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d DESC, axis) AS r FROM D) WHERE r = 1")
+@add("v17_v20_direction_bins", POLAR.replace(f"{CENT}", AX) + f", B AS (SELECT label, list(r ORDER BY n) FILTER (n = ceil(c * 1 / 4.0) OR n = ceil(c * 2 / 4.0) OR n = ceil(c * 3 / 4.0)) AS bounds FROM Y GROUP BY label), W AS (SELECT Y.id, len(list_filter(bounds, lambda b: b < r)) AS bin FROM Y JOIN B ON Y.label = B.label), D AS (SELECT E.id, axis, {DOT.format(a='vec', b='avec')} AS d FROM E, A) SELECT D.id, axis AS direction_bin, axis * 4 + bin AS cell, axis AS back_direction, bin AS back_radial FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d DESC, axis) AS r FROM D) D JOIN W ON D.id = W.id WHERE D.r = 1")
 def directions(spark, d):
+    """The axis with the largest product, the radial bin, the cell of both, and both back from the cell."""
     e = base(spark, d)
-    axes = e.where("id < 16").agg(F.array_sort(F.collect_list(F.struct(F.col("id").alias("axis"), "vec"))).alias("axes"))
+    axes = centers(e).agg(F.array_sort(F.collect_list(F.struct(F.col("center").alias("axis"), F.col("cvec").alias("vec")))).alias("axes"))
     best = F.array_min(F.transform("axes", lambda a: F.struct((-V.dot(F.col("vec"), a["vec"])).alias("d"), a["axis"].alias("axis"))))
-    return e.join(F.broadcast(axes)).select("id", best["axis"].alias("direction_bin"), V.cell_id(best["axis"], F.col("id") % 4, 4).alias("cell"))
+    x = e.join(F.broadcast(axes)).select("id", best["axis"].alias("direction_bin")).join(radial(spark, d).select("id", "bin"), "id")
+    x = x.select("id", "direction_bin", V.cell_id(F.col("direction_bin"), F.col("bin"), 4).alias("cell"))
+    return x.select("*", F.floor(F.col("cell") / 4).alias("back_direction"), (F.col("cell") % 4).alias("back_radial"))
 
 
-@add("m8_block_lower_bound", POLAR + f", K AS (SELECT label, (n - 1) // 8 AS block, min(r) AS r0, max(r) AS r1 FROM Y GROUP BY ALL), Q AS (SELECT q.id AS qid, CT.label, sqrt({L2.format(a='q.vec', b='centroid')}) AS rho FROM E q, CT WHERE q.id < 20) SELECT qid, K.label, block, round(greatest(0, rho * rho + power(least(r1, greatest(r0, rho * cos(greatest(0, 0.9 - 0.5)))), 2) - 2 * rho * least(r1, greatest(r0, rho * cos(greatest(0, 0.9 - 0.5)))) * cos(greatest(0, 0.9 - 0.5))), 6) AS bound FROM K JOIN Q ON K.label = Q.label")
+@add("m8_block_lower_bound", POLAR + f", K AS (SELECT label, (n - 1) // 8 AS block, min(r) AS r0, max(r) AS r1 FROM Y GROUP BY ALL), Q AS (SELECT q.id AS qid, CT.label, sqrt({L2.format(a='q.vec', b='centroid')}) AS rho FROM E q, CT WHERE q.id % 20 = 0) SELECT qid, K.label, block, round(greatest(0, rho * rho + power(least(r1, greatest(r0, rho * cos(greatest(0, 0.9 - 0.5)))), 2) - 2 * rho * least(r1, greatest(r0, rho * cos(greatest(0, 0.9 - 0.5)))) * cos(greatest(0, 0.9 - 0.5))), 6) AS bound FROM K JOIN Q ON K.label = Q.label")
 def lower_bound(spark, d):
     e = base(spark, d)
     k = polar(spark, d).groupBy("label", F.floor((F.col("n") - 1) / 8).alias("block")).agg(F.min("r").alias("r0"), F.max("r").alias("r1"))
-    q = R.centroid(e, "label").join(F.broadcast(query_set(e))).select("qid", "label", V.radius(F.col("qvec"), F.col("centroid")).alias("rho"))
+    near = query_set(e).join(F.broadcast(R.centroid(e, "label").select("label", "centroid")))  # one row a label
+    q = near.select("qid", "label", V.radius(F.col("qvec"), F.col("centroid")).alias("rho"))
     return k.join(q, "label").select("qid", "label", "block", F.round(V.block_lower_bound(F.col("rho"), F.col("r0"), F.col("r1"), F.lit(0.9), F.lit(0.5)), 6).alias("bound"))
 
 
-ROUTE = f"RT AS (SELECT qid, label, rank FROM (SELECT q.id AS qid, CT.label, row_number() OVER (PARTITION BY q.id ORDER BY {L2.format(a='q.vec', b='centroid')}, CT.label) AS rank FROM E q, CT WHERE q.id < 20) WHERE rank <= 3)"
+ROUTE = f"RT AS (SELECT qid, label, rank FROM (SELECT q.id AS qid, CT.label, row_number() OVER (PARTITION BY q.id ORDER BY {L2.format(a='q.vec', b='centroid')}, CT.label) AS rank FROM E q, CT WHERE q.id % 20 = 0) WHERE rank <= 3)"
 
 
 def route(e, cells=3):
@@ -373,16 +427,61 @@ def routed(spark, d):
 @add("m17_m22_routed_topk", f"WITH {E_SQL}, {CENT}, {ROUTE}, D AS (SELECT RT.qid, b.id, {L2.format(a='b.vec', b='q.vec')} AS distance FROM RT JOIN E b ON RT.label = b.label JOIN E q ON RT.qid = q.id) SELECT qid, rank, id, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS rank FROM D) WHERE rank <= 10")
 def routed_topk(spark, d):
     e = base(spark, d)
-    x = e.join(F.broadcast(route(e).join(query_set(e), "qid")), "label").withColumn("distance", V.l2(F.col("vec"), F.col("qvec")))
+    x = e.join(route(e).join(query_set(e), "qid"), "label").withColumn("distance", V.l2(F.col("vec"), F.col("qvec")))
     return S.rank_per_query(x.select("qid", "id", "distance"), 10).select("qid", "rank", "id", r6("distance"))
 
 
-@add("j3_j4_graph_topk")
-def graph_search(spark, d):
+def index_of(spark, d):
+    """The index of the vectors with their labels, built once a session in the shared folder."""
+    def make():
+        return I.build_index(labelled(base(spark, d)), f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+
+    return kept(spark, d, "index", make)
+
+
+@add("j3_j4_g8_g9_index_search", holds_sql("recall_10", "rank_by_distance_and_id", "fewer_distances_than_rows"))
+def index_search(spark, d):
+    """Search of the index for the query set: recall@10 of at least 0.9 against brute force, for fewer distances."""
+    e = base(spark, d)
+    found = cut(index_of(spark, d).search(query_set(e), 10))
+    n = e.count()
+    order = found.withColumn("o", F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id"))).where("o <> rank").count()
+    return holds(spark, recall_10=mean_recall(spark, d, found) >= 0.9, rank_by_distance_and_id=order == 0, fewer_distances_than_rows=found.agg(F.avg("work")).first()[0] < n)
+
+
+@add("j8_beam_search", holds_sql("recall_10"))
+def beam(spark, d):
+    """Search with a frontier in order of code distances: recall@10 of at least 0.9."""
     e = base(spark, d)
-    return S.graph_topk(query_set(e), e, 10, size=64).select("qid", "rank", "id", r6("distance"))
+    return holds(spark, recall_10=mean_recall(spark, d, index_of(spark, d).search(query_set(e), 10, size=80, codebook=codebook(spark, d))) >= 0.9)
+
+
+@add("j5_filtered_index_search", holds_sql("only_the_label", "recall_10", "unknown_label_is_an_error"))
+def filtered_index(spark, d):
+    """Results of one label only, found by a walk from its medoid too; an unknown label is refused."""
+    e = labelled(base(spark, d))
+    wanted = e.where(F.array_contains("labels", 3))
+    found = cut(index_of(spark, d).search(query_set(e), 10, label=3))
+    truth = S.exact_topk(query_set(e), wanted, 20).withColumn("distance", F.round("distance", 9))
+    try:
+        index_of(spark, d).search(query_set(e), 10, label=-5)
+        refused = False
+    except ValueError:
+        refused = True
+    return holds(spark, only_the_label=found.join(wanted, "id", "left_anti").count() == 0, recall_10=R.recall_at_k(found, truth, 10).agg(F.avg("recall")).first()[0] >= 90, unknown_label_is_an_error=refused)
+
+
+@add("s13_s14_saved_index", f"WITH {E_SQL} SELECT id, true AS degree_in_bounds, true AS links_to_rows FROM E")
+def saved_index(spark, d):
+    """The index as it is read back: every row, with 1 to 1.3 * 16 links, to rows of the table."""
+    nodes = index_of(spark, d).nodes
+    links = nodes.select("cell", "part", "id", F.explode("adj").alias("dst"))
+    wrong = links.join(base(spark, d).select(F.col("id").alias("dst")), "dst", "left_anti").select("id").distinct().withColumn("wrong", F.lit(True))
+    size = nodes.groupBy("id").agg(F.min(F.size("adj")).alias("least"), F.max(F.size("adj")).alias("most"))
+    return size.join(wrong, "id", "left").select("id", ((F.col("least") >= 1) & (F.col("most") <= 20)).alias("degree_in_bounds"), F.col("wrong").isNull().alias("links_to_rows"))
 
 
 @add("g1_g4_vamana_graph")
 def graph_build(spark, d):
-    return S.graph_edges(base(spark, d), 1, degree=12, pool=32)
+    """(cell, part, src, pos, dst) of the index's graph."""
+    return index_of(spark, d).nodes.select("cell", "part", F.col("id").alias("src"), F.posexplode("adj").alias("pos", "dst"))
