@@ -175,3 +175,96 @@ def test_changes_and_sources(spark, tmp_path):
     assert [(r.id, r.vec) for r in read_bin(spark, str(tmp_path / "a.bin")).orderBy("id").collect()] == [(0, [1, 2]), (1, [3, 4])]
     with pytest.raises(ValueError):
         require_columns(log, tag="string")
+
+
+def test_sources_refuse_what_is_wrong(spark, tmp_path):
+    from vecspark import sources as X
+
+    e = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 4.0])], "id long, vec array<double>")
+    X.save_vecs(e, f"{tmp_path}/a.fvecs")
+    assert [(r.id, r.vec) for r in X.read_vecs(spark, f"{tmp_path}/a.fvecs").orderBy("id").collect()] == [(0, [1, 2]), (1, [3, 4])]
+    assert X.fnv1a(b"") == 0xCBF29CE484222325 and X.fnv1a(b"a") == 0xAF63DC4C8601EC8C
+    assert [tuple(r) for r in X.checksums(spark.createDataFrame([("a",), (None,)], "t string"), "t").select("fnv1a", "crc32").collect()] == [("af63dc4c8601ec8c", 0xE8B7BE43), (None, None)]
+    t = spark.createDataFrame([(0, 1, 7, 0.5), (0, 2, 8, 0.75)], "qid long, rank long, id long, distance double")
+    X.save_truth(t, f"{tmp_path}/t", 2)
+    assert [tuple(r) for r in X.load_truth(spark, f"{tmp_path}/t").collect()] == [tuple(r) for r in t.collect()]
+    X.save_truth(t, f"{tmp_path}/u", 2, distances=False)
+    assert [r.distance for r in X.load_truth(spark, f"{tmp_path}/u").collect()] == [None, None]
+    with pytest.raises(ValueError):
+        X.save_truth(t, f"{tmp_path}/v", 3)
+    (tmp_path / "w").write_bytes((tmp_path / "t").read_bytes()[:-1])
+    with pytest.raises(ValueError):
+        X.load_truth(spark, f"{tmp_path}/w")
+    X.save_csv(t, f"{tmp_path}/csv", ["qid", "rank"])
+    assert X.load_csv(spark, f"{tmp_path}/csv", "qid long, rank long, id long, distance double").count() == 2
+    with pytest.raises(ValueError):
+        X.load_csv(spark, f"{tmp_path}/csv", "qid long, id long")
+    tags = spark.createDataFrame([(0, 5), (1, 6)], "id long, tag long")
+    assert X.load_tags(tags, e).count() == 2
+    for bad in ([(0, 5)], [(0, 5), (1, 5)], [(0, 5), (2, 6)]):
+        with pytest.raises(ValueError):
+            X.load_tags(spark.createDataFrame(bad, "id long, tag long"), e)
+    assert X.folder_bytes(spark, f"{tmp_path}/t") == 8 + 8 * 2
+
+
+def test_rules(spark):
+    x = lambda c: one(spark, c)
+    assert [budgets.guard_allows(*a) for a in ((0, 0.5, 0), (10, 0.25, 6), (10, 0.25, 7), (10, 2.0, 0))] == [False, True, False, False]
+    assert x(V.relative_increase(F.lit(0), F.lit(0))) == 0 and x(V.relative_increase(F.lit(3), F.lit(0))) == float("inf") and x(V.relative_increase(F.lit(3), F.lit(2))) == 0.5
+    null = F.lit(None).cast("double")
+    assert x(V.is_mature(F.lit(2), F.lit(1.0), null, 2, 1.0)) and not x(V.is_mature(F.lit(2), F.lit(1.1), F.lit(1.0), 2, 1.0)) and not x(V.is_mature(F.lit(2), null, null, 2, 1.0))
+    assert x(V.first_failure([("a", F.lit(True)), ("b", null.cast("boolean")), ("c", F.lit(False))])) == "b"
+    kind, number = V.chunk_parts(V.chunk_id(F.lit(3), F.lit(77).cast("long")))
+    assert (x(kind), x(number)) == (3, 77)
+    pairs = spark.createDataFrame([(1, 2, 5), (2, 3, 9), (3, 4, 5), (5, 6, 1), (4, 7, 5)], "a long, b long, n long")
+    assert sorted(tuple(r) for r in R.disjoint_pairs(pairs, "n").collect()) == [(2, 3, 9), (4, 7, 5), (5, 6, 1)]
+    assert R.disjoint_pairs(pairs.limit(0), "n").count() == 0
+    mass = spark.createDataFrame([(1, 0.95), (3, 1.0), (2, 0.05), (4, 0.0)], "id long, mass double")
+    assert {r.id for r in R.importance_mass(mass, 0.7).collect()} == {3, 1} and R.importance_mass(mass.where("id = 4"), 0.7).count() == 0
+    with pytest.raises(ValueError):
+        R.label_ids(spark.createDataFrame([("x",)], "raw string"), spark.createDataFrame([("y", 1)], "raw string, label int"))
+    with pytest.raises(ValueError):
+        R.require_disjoint(spark.createDataFrame([(1, "a"), (1, "b")], "q long, s string"), "q", "s")
+    shuffled = spark.createDataFrame([(i * 7 % 1000,) for i in range(1000)], "id long")
+    assert all(r.n == r.id for r in R.numbered(shuffled, "id", "n").collect())
+
+
+def test_quantisers(spark):
+    from vecspark.operators import pq as Q
+
+    p = np.arange(256.0)
+    x = np.stack((p, p * 7 % 31, np.sin(p / 10), np.cos(p / 10)), axis=1)
+    book = Q.train_codebook(x, 2)
+    codes = Q.encode(book, x)
+    assert book.shape == (2, 256, 2) and codes.shape == (256, 2) and ((Q.decode(book, codes) - x) ** 2).mean() < 0.05
+    with pytest.raises(ValueError):
+        Q.train_codebook(x, 3)
+    chunk, code = np.arange(64), np.arange(256)
+    table = (17 * chunk[:, None] + 3 * code[None]) % 101 * 0.25
+    own = (29 * np.arange(13)[:, None] + 7 * chunk[None]) % 256
+    whole, step, low = Q.quantized(table[None], 16)
+    near = whole[0][chunk, own].sum(1) * step[0] + low[0].sum()
+    assert np.abs(near - table[chunk, own].sum(1)).max() <= 64 * step[0] / 2
+
+
+def test_change_streams(spark, tmp_path):
+    from vecspark.streaming import start_upserts, windowed_changes
+
+    schema = "tag long, seq long, op string, ts timestamp"
+    log = spark.sql("select id % 5 as tag, id as seq, if(id % 4 = 3, 'delete', 'insert') as op, timestamp '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, id) as ts from range(60)").coalesce(1)
+    for lo in range(0, 60, 20):
+        log.where(f"seq >= {lo} and seq < {lo + 20}").write.mode("append").parquet(f"{tmp_path}/log")
+    state = {"table": log.limit(0).select("tag", "seq", "op")}
+
+    def write(table, n):
+        rows = table.collect()
+        state["table"] = spark.createDataFrame(rows, "tag long, seq long, op string")
+
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/log")
+    q = start_upserts(stream, lambda: state["table"], write, f"{tmp_path}/check", None)
+    q.awaitTermination(120)
+    assert sorted(map(tuple, state["table"].collect())) == sorted(map(tuple, apply_changes(log.limit(0), log).collect()))
+    w = windowed_changes(stream, width="30 minutes").writeStream.format("memory").queryName("changes").outputMode("complete").trigger(availableNow=True).start()
+    w.awaitTermination(120)
+    got = spark.table("changes").groupBy("op").agg(F.sum("n").alias("n")).collect()
+    assert {r.op: r.n for r in got} == {"insert": 45, "delete": 15}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 
 def ceil_div(a: int, b: int) -> int:
     return -(-a // b)
@@ -37,3 +39,8 @@ def pq_chunks_for(bytes_limit: int, n: int, dim: int) -> int:
 
 def index_bytes(n: int, dim: int, degree: int, item: int = 4, slack: float = 1.3, overhead: float = 1.1) -> float:
     return overhead * (n * dim * item + n * degree * 4 * slack)
+
+
+def guard_allows(size: int, fraction: float, unexpanded: int) -> bool:
+    """Whether another candidate from outside the graph fits a search list of which a fraction is kept for the graph."""
+    return unexpanded < size - min(size, math.ceil(fraction * size))

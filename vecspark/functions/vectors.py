@@ -142,3 +142,41 @@ def event_credit(d_sv: Column, d_wv: Column, d_av: Column, alpha: float = 1.2, s
     p = F.greatest(F.lit(0.0), 1 - alpha * rw)
     q = F.when(rw < rc, 1 - rw / rc).otherwise(0.0)
     return F.when(d_sv <= RADIUS_EPSILON, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), p * q)))
+
+
+def batch_verdict(evidence: Column, threshold: Column, competitive: Column, scored: Column, evidence_ratio: float, best_ratio: float, least: int, share: float) -> Column:
+    """Why a batch of candidates is refused ("evidence", "low_yield"), or "admitted"; a null threshold refuses nothing by distance."""
+    far = lambda ratio: threshold.isNotNull() & (evidence.isNull() | (evidence > threshold * ratio))
+    low = (competitive < least) | (competitive / scored < share) | far(best_ratio)
+    return F.when(far(evidence_ratio), "evidence").when(low, "low_yield").otherwise("admitted")
+
+
+def is_mature(support: Column, evidence: Column, threshold: Column, least: int, ratio: float) -> Column:
+    return (support >= least) & evidence.isNotNull() & (threshold.isNull() | (evidence <= threshold * ratio))
+
+
+def first_failure(checks: list[tuple[str, Column]]) -> Column:
+    """The name of the first check that doesn't hold, or an empty text."""
+    out = F.lit("")
+    for name, holds in reversed(checks):
+        out = F.when(~F.coalesce(holds, F.lit(False)), name).otherwise(out)
+    return out
+
+
+def relative_increase(merged: Column, fixed: Column) -> Column:
+    """merged / fixed - 1; of nothing 0, and infinity if something comes of nothing."""
+    return F.when(fixed != 0, merged / fixed - 1).when(merged == 0, 0.0).otherwise(float("inf"))
+
+
+#: Sizes of the types of chunks in bytes (fixed values).
+CHUNK_BYTES = (4096, 65536, 524288, 2097152)
+
+
+def chunk_id(kind: Column, number: Column) -> Column:
+    """The type in the two highest bits over the number."""
+    return F.shiftleft(kind.cast("long"), 62).bitwiseOR(number)
+
+
+def chunk_parts(chunk: Column) -> tuple[Column, Column]:
+    """(type, number) of a chunk id."""
+    return F.shiftrightunsigned(chunk, 62).cast("int"), chunk.bitwiseAND(F.lit((1 << 62) - 1))

@@ -194,3 +194,135 @@ def select_gateways(candidates: DataFrame, count: int) -> DataFrame:
 
     pair = ["source_community", "target_community"]
     return candidates.select(*pair, "ordinal", "source_node", "target_node", "direction").groupBy(*pair).applyInPandas(run, "source_community long, target_community long, ordinal long, source_node long, target_node long")
+
+
+def community_edges(edges: DataFrame, member: DataFrame) -> DataFrame:
+    """(community, internal_edges, incoming_edges, outgoing_edges) of edges (src, dst) under (id, community)."""
+    m = member.select("id", "community")
+    j = edges.select("src", "dst").join(m.select(F.col("id").alias("src"), F.col("community").alias("a")), "src").join(m.select(F.col("id").alias("dst"), F.col("community").alias("b")), "dst").groupBy("a", "b").agg(F.count("*").alias("n"))
+    same, none = F.col("a") == F.col("b"), F.lit(0).cast("long")
+    out = j.select(F.col("a").alias("community"), F.when(same, F.col("n")).otherwise(0).alias("i"), none.alias("c"), F.when(~same, F.col("n")).otherwise(0).alias("o"))
+    into = j.where(~same).select(F.col("b").alias("community"), none.alias("i"), F.col("n").alias("c"), none.alias("o"))
+    return out.unionByName(into).groupBy("community").agg(F.sum("i").alias("internal_edges"), F.sum("c").alias("incoming_edges"), F.sum("o").alias("outgoing_edges"))
+
+
+def modularity_gains(pairs: DataFrame, member: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """(id, target, degree, gain): what moving a node to another community around it adds to the modularity."""
+    both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), "weight").unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("v"), "weight"))
+    m = member.select("id", "community")
+    degree = both.groupBy("u").agg(F.sum("weight").alias("degree"))
+    own = degree.join(m.select(F.col("id").alias("u"), F.col("community").alias("home")), "u")
+    total = own.groupBy("home").agg(F.sum("degree").alias("t"))
+    near = both.join(m.select(F.col("id").alias("v"), F.col("community").alias("target")), "v").groupBy("u", "target").agg(F.sum("weight").alias("w"))
+    stay = near.select("u", F.col("target").alias("home"), F.col("w").alias("w0"))
+    x = near.join(own, "u").where("target <> home").join(stay, ["u", "home"], "left").na.fill(0, ["w0"])
+    x = x.join(total.select(F.col("home").alias("target"), F.col("t").alias("there")), "target").join(total, "home").join(F.broadcast(total.agg((F.sum("t") / 2).alias("m"))))
+    gain = (F.col("w") - F.col("w0")) / F.col("m") - resolution * F.col("degree") * (F.col("degree") + F.col("there") - F.col("t")) / (2 * F.col("m") * F.col("m"))
+    return x.select(F.col("u").alias("id"), "target", "degree", gain.alias("gain"))
+
+
+def importance_mass(rows: DataFrame, share: float) -> DataFrame:
+    """The rows (id, mass) with the largest masses, ties to the smaller id, until they hold a share of the sum; none of none."""
+    total = rows.agg(F.sum("mass")).first()[0] or 0
+    if total <= 0:
+        return rows.limit(0)
+    before = running(rows.where("mass > 0").withColumn("_order", F.struct((-F.col("mass")).alias("m"), "id")), "_order", "mass", "_upto")
+    return before.where(F.col("_upto") - F.col("mass") < share * total).select("id", "mass")
+
+
+def recall_of_active(results: DataFrame, truth: DataFrame, active: DataFrame, k: int) -> DataFrame:
+    """(qid, recall): percent of the k; truth goes as far as its k-th active id, and ids as far away as that one."""
+    live = truth.join(active.select("id").distinct().withColumn("live", F.lit(1)), "id", "left").na.fill(0, ["live"])
+    live = live.withColumn("lives", F.sum("live").over(Window.partitionBy("qid").orderBy("rank")))
+    bound = live.where((F.col("lives") < k) | ((F.col("lives") == k) & (F.col("live") == 1))).groupBy("qid").agg(F.max("distance").alias("bound"))
+    wanted = truth.join(bound, "qid").where("distance <= bound").select("qid", "id")
+    hits = results.where(F.col("rank") <= k).join(wanted, ["qid", "id"], "left_semi").groupBy("qid").agg(F.count("*").alias("hits"))
+    return truth.select("qid").distinct().join(hits, "qid", "left").select("qid", (F.coalesce("hits", F.lit(0)) * 100.0 / k).alias("recall"))
+
+
+def range_recall(queries: DataFrame, truth: DataFrame, results: DataFrame) -> DataFrame:
+    """(qid, recall): percent of the truth (qid, id) that is in the results; 100 where there is none."""
+    n = truth.groupBy("qid").agg(F.count("*").alias("n"))
+    hits = truth.select("qid", "id").join(results.select("qid", "id").distinct(), ["qid", "id"], "left_semi").groupBy("qid").agg(F.count("*").alias("hits"))
+    x = queries.select("qid").distinct().join(n, "qid", "left").join(hits, "qid", "left").na.fill(0)
+    return x.select("qid", F.when(F.col("n") == 0, 100.0).otherwise(100.0 * F.col("hits") / F.greatest("n", F.lit(1))).alias("recall"))
+
+
+def label_ids(raw: DataFrame, dictionary: DataFrame, universal: int | None = None) -> DataFrame:
+    """(raw, label) by a dictionary (raw, label); an unknown one is the universal label, or an error without one."""
+    out = raw.join(dictionary, "raw", "left")
+    if universal is None and out.where("label is null").limit(1).count():
+        raise ValueError("unknown label, and no universal one")
+    return out.select("raw", F.coalesce("label", F.lit(universal)).alias("label"))
+
+
+def excluding(search, seen: DataFrame, k: int) -> DataFrame:
+    """The k best of search(n) that aren't in seen (id, qid); n doubles until every query has k or all its rows came."""
+    from .search import rank_per_query
+
+    n, before = 4 * k, None
+    while True:
+        found = cut(search(n))
+        left = found.join(seen.select("qid", "id"), ["qid", "id"], "left_anti")
+        some = left.groupBy("qid").agg(F.count("*").alias("c"))
+        short = found.select("qid").distinct().join(some, "qid", "left").where(F.coalesce("c", F.lit(0)) < k).limit(1).count()
+        rows = found.count()
+        if not short or rows == before:
+            return rank_per_query(left.select("qid", "id", "distance"), k)
+        n, before = 2 * n, rows
+
+
+def exact_over(exact: DataFrame, approximate: DataFrame) -> DataFrame:
+    """(qid, id, distance) of both, the exact one where a pair is in both."""
+    both = exact.select("qid", "id", F.col("distance").alias("e")).join(approximate.select("qid", "id", F.col("distance").alias("a")), ["qid", "id"], "full")
+    return both.select("qid", "id", F.coalesce("e", "a").alias("distance"))
+
+
+def require_disjoint(rows: DataFrame, key: str, split: str) -> DataFrame:
+    """rows, or an error if a key is in more than one split."""
+    if rows.groupBy(key).agg(F.min(split).alias("a"), F.max(split).alias("b")).where("a <> b").limit(1).count():
+        raise ValueError(f"a {key} is in more than one {split}")
+    return rows
+
+
+def least_mixed(ids: DataFrame, k: int) -> DataFrame:
+    """(id, mixed, rank): the k ids with the smallest values of a fixed 64-bit mixer, unsigned and as text."""
+
+    def run(batches):
+        for b in batches:
+            if len(b):
+                x = b["id"].to_numpy(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+                x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                x ^= x >> np.uint64(31)
+                least = np.lexsort((b["id"], x))[:k]
+                yield pd.DataFrame({"id": b["id"].to_numpy()[least], "mixed": [str(v) for v in x[least]]})
+
+    mixed = ids.select("id").mapInPandas(run, "id long, mixed string")
+    best = mixed.orderBy(F.col("mixed").cast("decimal(20,0)"), "id").limit(k)  # k rows
+    return best.select("id", "mixed", F.row_number().over(Window.orderBy(F.col("mixed").cast("decimal(20,0)"), "id")).cast("long").alias("rank"))
+
+
+def weighted_centroid(parts: DataFrame, key: str) -> DataFrame:
+    """(key, n, centroid) of parts (key, n, centroid): means of means, by their rows."""
+    x = parts.select(key, "n", F.posexplode("centroid").alias("i", "x"))
+    sums = x.groupBy(key, "i").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("m"), F.sum("n").alias("n"))
+    return sums.groupBy(key).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda p: p["m"]).alias("centroid"))
+
+
+def disjoint_pairs(pairs: DataFrame, score: str) -> DataFrame:
+    """(a, b, score): pairs taken in order of (score, a, b), the largest score first, if neither side was taken before.
+
+    In rounds: a pair that comes first at both of its sides is taken, and its neighbours go. A round takes at least
+    the first pair, and every pair it takes is one that the order would take.
+    """
+    left, taken = cut(pairs.select("a", "b", score)), None
+    while left.limit(1).count():
+        order = F.struct((-F.col(score)).alias("s"), F.col("a").alias("x"), F.col("b").alias("y"))
+        sides = left.select(F.col("a").alias("n"), order.alias("o")).unionByName(left.select(F.col("b").alias("n"), order.alias("o"))).groupBy("n").agg(F.min("o").alias("o"))
+        first = left.join(sides.select(F.col("n").alias("a"), F.col("o").alias("oa")), "a").join(sides.select(F.col("n").alias("b"), F.col("o").alias("ob")), "b").where(F.col("oa") == F.col("ob")).select("a", "b", score)
+        first = cut(first)
+        taken = first if taken is None else taken.unionByName(first)
+        gone = first.select(F.explode(F.array("a", "b")).alias("n"))
+        left = cut(left.join(gone.withColumnRenamed("n", "a"), "a", "left_anti").join(gone.withColumnRenamed("n", "b"), "b", "left_anti").select("a", "b", score))
+    return pairs.select("a", "b", score).limit(0) if taken is None else taken

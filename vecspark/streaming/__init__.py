@@ -14,12 +14,12 @@ def apply_changes(current: DataFrame, changes: DataFrame) -> DataFrame:
     return both.groupBy("tag").agg(F.max(F.struct("seq", "op")).alias("x")).select("tag", "x.seq", "x.op")
 
 
-def start_upserts(stream: DataFrame, read: Callable[[], DataFrame], write: Callable[[DataFrame, int], None], checkpoint: str, interval: str = "2 seconds"):
-    """Apply a stream of changes every interval; write gets the new table and the batch number.
+def start_upserts(stream: DataFrame, read: Callable[[], DataFrame], write: Callable[[DataFrame, int], None], checkpoint: str, interval: str | None = "2 seconds"):
+    """Apply a stream of changes every interval, or all that is there and then end (None); write gets the new table and the batch number.
 
     A batch that is replayed after a failure gives the same table: the last change by seq wins.
     """
-    return stream.writeStream.foreachBatch(lambda batch, n: write(apply_changes(read(), batch), n)).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
+    return stream.writeStream.foreachBatch(lambda batch, n: write(apply_changes(read(), batch), n)).option("checkpointLocation", checkpoint).trigger(**({"processingTime": interval} if interval else {"availableNow": True})).start()
 
 
 def windowed_changes(stream: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
