@@ -16,11 +16,13 @@ from vecspark.functions import vectors as V
 from .lineage import cut
 
 
-def running(df: DataFrame, order: str, amount: str, name: str, blocks: int = 256) -> DataFrame:
+def running(df: DataFrame, order: str, amount: str, name: str, blocks: int | None = None) -> DataFrame:
     """df with the sum of amount as far as each row, in order of a column of distinct values.
 
-    Rows are dealt into ranges of the order, whose sums are added up first: no task sees all rows.
+    Rows are dealt into ranges of the order (as many as shuffle partitions), whose sums are added up first: no task
+    sees all rows.
     """
+    blocks = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranges = cut(df.repartitionByRange(blocks, order).withColumn("_block", F.spark_partition_id()))
     sums = ranges.groupBy("_block").agg(F.sum(amount).alias("s"))
     base = sums.withColumn("_base", F.sum("s").over(Window.orderBy("_block")) - F.col("s")).select("_block", "_base")  # at most `blocks` rows
