@@ -268,3 +268,59 @@ def test_change_streams(spark, tmp_path):
     w.awaitTermination(120)
     got = spark.table("changes").groupBy("op").agg(F.sum("n").alias("n")).collect()
     assert {r.op: r.n for r in got} == {"insert": 45, "delete": 15}
+
+
+def plain_prune(point, nodes, degree, alpha):
+    """Pruning as it is defined, one comparison at a time: (kept ids, {victim: (witness, alternative)})."""
+    d = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b, strict=True))
+    pool = sorted((d(point, v), i, v, gone) for i, v, gone in nodes)
+    passed, kept, slack = [], [], 1.0
+
+    def worst(n):
+        ratios = [(np.inf if d(p[2], n[2]) == 0 else n[0] / d(p[2], n[2]), -p[1]) for p in passed if (p[0], p[1]) < (n[0], n[1])]
+        return max(ratios, default=(0, 0))
+
+    while slack <= alpha + 1e-9:
+        for n in pool:
+            if n not in passed and len(kept) < degree and worst(n)[0] <= slack:
+                passed.append(n)
+                kept += [] if n[3] else [n]
+        slack *= 1.2
+    events = {}
+    for n in pool:
+        f, w = worst(n)
+        if n not in passed and not n[3] and f > alpha:
+            events[n[1]] = (-w, min((d(k[2], n[2]), k[1]) for k in kept if k[1] != -w)[1] if any(k[1] != -w for k in kept) else -1)
+    return [k[1] for k in kept], events
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_prune_events_against_plain_pruning(seed):
+    """Ties, equal vectors and deleted rows are among the candidates."""
+    rng = np.random.default_rng(seed)
+    vec = rng.integers(0, 4, (30, 3)).astype(float)
+    ids, gone, point = rng.permutation(30).astype(np.int64) + 100, rng.random(30) < 0.2, rng.integers(0, 4, 3).astype(float)
+    log = []
+    kept = S.robust_prune(ids, vec, point, 4, 1.2, 30, deleted=gone, events=log)
+    want, events = plain_prune(point.tolist(), [(int(i), v.tolist(), bool(g)) for i, v, g in zip(ids, vec, gone, strict=True)], 4, 1.2)
+    assert [int(ids[k]) for k in kept] == want
+    assert {int(ids[v]): (int(ids[w]), -1 if a < 0 else int(ids[a])) for w, v, a in log} == events and len(log) == len(events)
+
+
+def test_pruned_lists(spark):
+    """Repeated edges count once; ends without a row, null vectors and empty graphs are left out."""
+    base = spark.createDataFrame([(0, [0.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.5]), (4, None)], "id long, vec array<double>")
+    edges = spark.createDataFrame([(0, 1), (0, 1), (0, 2), (0, 3), (0, 4), (0, 9), (4, 1)], "src long, dst long")
+    (row,) = S.pruned(edges, base, 4).collect()
+    assert (row.src, row.neighbours) == (0, [1, 3])
+    assert [tuple(e) for e in row.events] == [(1, 2, 4.0, 1.0, 6.25)]
+    (row,) = S.pruned(edges, base, 4, deleted=spark.createDataFrame([(1,)], "id long")).collect()
+    assert row.neighbours == [3] and [e.victim_id for e in row.events] == [2]
+    assert S.pruned(edges.where("src < 0"), base, 4).count() == 0
+
+
+def test_beam_grows_past_the_marker():
+    assert [budgets.next_beam(4, 8, u, h, 4, 8, 0.25) for u, h in ((8, 5), (8, 4), (6, 5), (4, 5))] == [5, 4, 5, 4]
+    assert budgets.next_beam(8, 8, 8, 9, 4, 8) == 8 and budgets.next_beam(2, 0, 0, 9, 4, 8) == 2
+    with pytest.raises(ValueError):
+        budgets.next_beam(1, 2, 3, 0, 4, 8)

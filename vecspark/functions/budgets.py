@@ -44,3 +44,11 @@ def index_bytes(n: int, dim: int, degree: int, item: int = 4, slack: float = 1.3
 def guard_allows(size: int, fraction: float, unexpanded: int) -> bool:
     """Whether another candidate from outside the graph fits a search list of which a fraction is kept for the graph."""
     return unexpanded < size - min(size, math.ceil(fraction * size))
+
+
+def next_beam(width: int, expanded: int, useful: int, hop: int, marker: int, most: int, threshold: float = 0.1) -> int:
+    """The width of the next hop: one more, up to `most`, once past the marker with at most that share of rows wasted."""
+    if min(width, expanded, useful, hop) < 0 or useful > expanded:
+        raise ValueError("useful rows are some of those expanded")
+    wasted = 1 - useful / expanded if expanded else 1.0
+    return min(width + 1, most) if hop > marker and wasted <= threshold else width

@@ -130,34 +130,74 @@ def entry_of(vec: np.ndarray) -> int:
     return int(np.argmin(((vec - vec.mean(0)) ** 2).sum(1)))
 
 
-def robust_prune(ids: np.ndarray, vec: np.ndarray, point: np.ndarray, degree: int, alpha: float = 1.2, pool: int = 750, saturate: bool = False) -> list[int]:
+def robust_prune(ids: np.ndarray, vec: np.ndarray, point: np.ndarray, degree: int, alpha: float = 1.2, pool: int = 750, saturate: bool = False, deleted: np.ndarray | None = None, events: list | None = None) -> list[int]:
     """Neighbours that no closer kept one occludes: positions into ids.
 
     A candidate is occluded at slack a when its squared distance to the point exceeds a times that to a
     kept neighbour. a grows from 1 by 1.2 up to alpha.
+    deleted: which candidates occlude others but are never returned.
+    events: takes (witness, victim, alternative) of the live candidates left out that are occluded at alpha. The witness
+    is what occludes most (then the smaller id), the alternative the nearest other neighbour returned, or -1.
     """
     to_point = ((vec - point) ** 2).sum(1)
     order = np.lexsort((ids, to_point))[:pool]
-    factor, kept, slack = np.zeros(len(order)), [], 1.0
+    factor, by, kept, slack = np.zeros(len(order)), np.full(len(order), -1), [], 1.0
     while slack <= alpha + 1e-9 and len(kept) < degree:
         for i, c in enumerate(order):
             if len(kept) >= degree:
                 break
-            if factor[i] > slack:
+            if factor[i] > slack or factor[i] < 0:
                 continue
-            factor[i] = np.inf
-            kept.append(int(c))
+            factor[i] = -1  # passed
+            if deleted is None or not deleted[c]:
+                kept.append(int(c))
             later = order[i + 1 :]
             between = ((vec[later] - vec[c]) ** 2).sum(1)
             with np.errstate(divide="ignore", invalid="ignore"):
                 ratio = np.where(between == 0, np.inf, to_point[later] / between)
-            factor[i + 1 :] = np.maximum(factor[i + 1 :], ratio)
+            open_ = factor[i + 1 :] >= 0
+            more = open_ & ((ratio > factor[i + 1 :]) | ((ratio == factor[i + 1 :]) & (ids[c] < ids[by[i + 1 :]])))
+            factor[i + 1 :][more], by[i + 1 :][more] = ratio[more], c
         slack *= 1.2
+    if events is not None:
+        for i in np.flatnonzero(factor > alpha):
+            v, others = int(order[i]), [k for k in kept if k != by[i]]
+            if deleted is None or not deleted[v]:
+                best = min(others, key=lambda k: (((vec[k] - vec[v]) ** 2).sum(), ids[k]), default=-1)
+                events.append((int(by[i]), v, best))
     if saturate and alpha > 1:
-        kept += [int(c) for c in order if int(c) not in set(kept)][: degree - len(kept)]
+        kept += [int(c) for c in order if int(c) not in set(kept) and (deleted is None or not deleted[c])][: degree - len(kept)]
     return kept
 
 
+def pruned(edges: DataFrame, base: DataFrame, degree: int, alpha: float = 1.2, deleted: DataFrame | None = None) -> DataFrame:
+    """(src, neighbours, events) of the rows of a graph (src, dst), pruned to a smaller degree in one pass.
+
+    events: (witness_id, victim_id, d_sv, d_wv, d_av) with squared distances. deleted: (id) of rows that are no
+    neighbours any more. One list of a graph, bounded by its degree, is in memory at a time; sources without a vector go.
+    """
+    gone = F.lit(False) if deleted is None else F.col("gone").isNotNull()
+    ends = base.where("vec is not null").select("id", "vec")
+    marked = ends.withColumn("gone", F.lit(None)) if deleted is None else ends.join(deleted.select("id").distinct().withColumn("gone", F.lit(True)), "id", "left")
+    marked = marked.select(F.col("id").alias("dst"), F.struct("id", "vec", gone.alias("gone")).alias("node"))
+    lists = edges.select("src", "dst").distinct().join(marked, "dst").groupBy("src").agg(F.collect_list("node").alias("nodes"))
+    rows = lists.join(ends.select(F.col("id").alias("src"), F.col("vec").alias("point")), "src")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            kept, seen = [], []
+            for nodes, point in zip(b["nodes"], b["point"], strict=True):
+                ids, vec = np.array([n["id"] for n in nodes], np.int64), np.array([n["vec"] for n in nodes], np.float64)
+                point, log = np.asarray(point, np.float64), []
+                gone = np.array([n["gone"] for n in nodes], bool)
+                kept.append([int(ids[k]) for k in robust_prune(ids, vec, point, degree, alpha, len(ids), deleted=gone, events=log)])
+                apart = lambda a, c: float(((a - c) ** 2).sum())
+                seen.append([{"witness_id": int(ids[w]), "victim_id": int(ids[v]), "d_sv": apart(point, vec[v]), "d_wv": apart(vec[w], vec[v]), "d_av": None if a < 0 else apart(vec[a], vec[v])} for w, v, a in log])
+            yield pd.DataFrame({"src": b["src"], "neighbours": kept, "events": seen})
+
+    return rows.mapInPandas(run, "src long, neighbours array<long>, events array<struct<witness_id: long, victim_id: long, d_sv: double, d_wv: double, d_av: double>>")
+
+
 def build_graph(ids: np.ndarray, vec: np.ndarray, degree: int = 16, pool: int = 48, alpha: float = 1.2) -> list[np.ndarray]:
     """A pruned proximity graph in synchronous rounds: near pools, pruning, reverse edges, pruning."""
     n = len(ids)

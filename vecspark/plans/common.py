@@ -77,3 +77,5 @@ S_SQL = "E AS (SELECT vec_id::BIGINT AS id, list_transform(embedding::DOUBLE[],
 L2 = "list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
 DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1] * z[2]))"
 G_SQL = E_SQL + f", P AS (SELECT a.id AS src, b.id AS dst, {L2.format(a='a.vec', b='b.vec')} AS distance FROM E a JOIN E b ON a.id <> b.id), G AS (SELECT * FROM (SELECT src, row_number() OVER (PARTITION BY src ORDER BY distance, dst) AS pos, dst, distance FROM P) WHERE pos <= 8)"
+#: The same, made once: what a recursion joins is made again at every step otherwise.
+GM_SQL = G_SQL.replace("G AS (", "G AS MATERIALIZED (")

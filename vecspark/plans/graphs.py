@@ -14,7 +14,7 @@ from vecspark.operators import partition as P
 from vecspark.operators import relational as R
 from vecspark.operators.lineage import cut
 
-from .common import E_SQL, G_SQL, base, load, near_graph, r6, registrar
+from .common import E_SQL, G_SQL, GM_SQL, base, load, near_graph, r6, registrar
 
 REGISTRY, add = registrar()
 W_SQL = G_SQL + ", U AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(*) AS weight FROM G GROUP BY ALL)"
@@ -64,7 +64,7 @@ def two_hop(spark, d):
     return h.groupBy("src").agg(F.min(F.struct((-F.col("n")).alias("m"), "page", "n")).alias("x")).select("src", "x.page", "x.n")
 
 
-@add("a35_g31_bfs_levels", f"WITH RECURSIVE {G_SQL}, B(id, level) AS (SELECT 0::BIGINT, 0 UNION SELECT G.dst, B.level + 1 FROM B JOIN G ON G.src = B.id WHERE B.level < 6) SELECT level::BIGINT AS level, count(*) AS n FROM (SELECT id, min(level) AS level FROM B GROUP BY id) GROUP BY level")
+@add("a35_g31_bfs_levels", f"WITH RECURSIVE {GM_SQL}, B(id, level) AS (SELECT 0::BIGINT, 0 UNION SELECT G.dst, B.level + 1 FROM B JOIN G ON G.src = B.id WHERE B.level < 32) SELECT level::BIGINT AS level, count(*) AS n FROM (SELECT id, min(level) AS level FROM B GROUP BY id) GROUP BY level")
 def bfs(spark, d):
     g = cut(graph(spark, d).select("src", "dst"))
     return R.bfs_levels(g, spark.range(1)).groupBy("level").agg(F.count("*").alias("n"))

@@ -18,7 +18,7 @@ from vecspark.operators import relational as R
 from vecspark.operators import search as S
 from vecspark.operators.lineage import cut, shared_folder
 
-from .common import DOT, E_SQL, G_SQL, L2, base, load, near_graph, query_set, r6, registrar, vec_sql, vec_text
+from .common import DOT, E_SQL, G_SQL, GM_SQL, L2, base, kept, load, near_graph, query_set, r6, registrar, vec_sql, vec_text
 from .graphs import EV, W_SQL, cross, graph, importance, members
 
 REGISTRY, add = registrar()
@@ -400,3 +400,49 @@ def codebook_file(spark, d):
     except ValueError:
         found = True
     return spark.createDataFrame([(same, found)], "same boolean, damage_found boolean")
+
+
+def gone(spark, d):
+    return base(spark, d).where("id % 10 = 0").select("id")
+
+
+def pruned(spark, d):
+    """The graph pruned to five neighbours, ids divisible by 10 deleted; both outputs come from one written pass."""
+    return kept(spark, d, "pruned", lambda: S.pruned(graph(spark, d), base(spark, d), 5, 1.2, gone(spark, d)))
+
+
+#: Pruning step by step: a candidate passes at slack 1, then 1.2, if no passed nearer one occludes it.
+PRUNE = GM_SQL + """, F AS (SELECT x.src, x.pos AS p, w.pos AS w, x.dst AS victim_id, w.dst AS witness_id, x.distance AS d_sv, b.distance AS d_wv, CASE WHEN b.distance = 0 THEN 'inf'::DOUBLE ELSE x.distance / b.distance END AS f
+FROM G x JOIN G w ON x.src = w.src AND w.pos <> x.pos JOIN P b ON b.src = w.dst AND b.dst = x.dst),
+M AS (SELECT src, list(fs ORDER BY p) AS m FROM (SELECT src, p, list(f ORDER BY w) AS fs FROM F WHERE w < p GROUP BY src, p) GROUP BY src),
+DL AS (SELECT src, list(dst % 10 = 0 ORDER BY pos) AS gone, count(*) AS n FROM G GROUP BY src),
+K(src, step, passed) AS (SELECT src, 0, []::BIGINT[] FROM DL UNION ALL
+SELECT K.src, step + 1, CASE WHEN len(list_filter(passed, lambda k: NOT gone[k])) < 5 AND NOT list_contains(passed, step % n + 1) AND coalesce(list_max(list_transform(list_filter(passed, lambda k: k < step % n + 1), lambda k: m[step % n][k])), 0) <= CASE WHEN step < n THEN 1 ELSE 1.2 END THEN list_append(passed, step % n + 1) ELSE passed END
+FROM K JOIN DL ON K.src = DL.src LEFT JOIN M ON M.src = K.src WHERE step < 2 * n),
+O AS (SELECT K.src, passed, gone FROM K JOIN DL ON K.src = DL.src WHERE step = 2 * n)"""
+
+
+@add("g4_f6_pruned_graph", f"WITH RECURSIVE {PRUNE} SELECT G.src, dst FROM G JOIN O ON G.src = O.src WHERE list_contains(passed, pos) AND dst % 10 <> 0")
+def pruned_graph(spark, d):
+    """A graph pruned to a smaller degree: deleted rows occlude others and are no neighbours."""
+    return pruned(spark, d).select("src", F.explode("neighbours").alias("dst"))
+
+
+@add("g5_a13_prune_events", f"WITH RECURSIVE {PRUNE}, W AS (SELECT * FROM (SELECT F.*, row_number() OVER (PARTITION BY F.src, p ORDER BY f DESC, witness_id) AS r FROM F JOIN O ON F.src = O.src WHERE w < p AND list_contains(passed, w) AND NOT list_contains(passed, p) AND victim_id % 10 <> 0) WHERE r = 1 AND f > 1.2), A AS (SELECT W.src, W.p, min(F.d_wv) AS d_av FROM W JOIN F ON F.src = W.src AND F.p = W.p AND F.w <> W.w JOIN O ON O.src = W.src WHERE list_contains(passed, F.w) AND F.witness_id % 10 <> 0 GROUP BY ALL), R AS (SELECT W.*, sqrt(d_wv / d_sv) AS rw, coalesce(least(1, greatest(sqrt(d_av / d_sv), sqrt(d_wv / d_sv))), 1) AS rc FROM W LEFT JOIN A ON W.src = A.src AND W.p = A.p) SELECT src AS source_id, witness_id, victim_id, round(least(1, greatest(0, 1 - 0.5 * rw) * (CASE WHEN rw < rc THEN 1 - rw / rc ELSE 0 END)), 6) AS credit FROM R")
+def prune_events(spark, d):
+    """Which neighbour of a source made another one leave its list, and its credit against the next best."""
+    e = pruned(spark, d).select(F.col("src").alias("source_id"), F.explode("events").alias("e")).select("source_id", "e.*")
+    return e.select("source_id", "witness_id", "victim_id", F.round(V.event_credit(F.col("d_sv"), F.col("d_wv"), F.col("d_av"), 0.5, squared=True), 6).alias("credit"))
+
+
+@add("g31_cached_nodes", f"WITH RECURSIVE {GM_SQL}, B(id, level) AS (SELECT 0::BIGINT, 0 UNION SELECT G.dst, B.level + 1 FROM B JOIN G ON G.src = B.id WHERE B.level < 32), L AS (SELECT id, min(level)::BIGINT AS level FROM B GROUP BY id) SELECT id, level FROM L ORDER BY level, id LIMIT (SELECT greatest(1, count(*) // 10) FROM E)")
+def cached_nodes(spark, d):
+    """The nodes nearest the entry by levels, a tenth of all: what a reader would keep in memory."""
+    n = max(1, base(spark, d).count() // 10)
+    return R.bfs_levels(cut(graph(spark, d).select("src", "dst")), spark.range(1)).orderBy("level", "id").limit(n)
+
+
+@add("m14_beam_widths", "SELECT w AS width, e AS expanded, u AS useful, h AS hop, CASE WHEN h > 4 AND e > 0 AND 1 - u * 1.0 / e <= 0.25 THEN least(w + 1, 8) ELSE w END AS next FROM (SELECT unnest([1, 4, 8]) AS w), (SELECT unnest([0, 4, 8]) AS e), (SELECT unnest([0, 3, 4, 6, 8]) AS u), (SELECT unnest([0, 4, 5, 20]) AS h) WHERE u <= e")
+def beams(spark, d):
+    rows = [(w, e, u, h, budgets.next_beam(w, e, u, h, 4, 8, 0.25)) for w in (1, 4, 8) for e in (0, 4, 8) for u in (0, 3, 4, 6, 8) for h in (0, 4, 5, 20) if u <= e]
+    return spark.createDataFrame(rows, "width int, expanded int, useful int, hop int, next int")

@@ -223,6 +223,12 @@ def holds(spark, **named):
     return spark.createDataFrame([(k, bool(v)) for k, v in named.items()], "name string, holds boolean")
 
 
+def all_hold(rows, names):
+    """(name, holds): properties that every row of a table has."""
+    every = rows.agg(*(F.coalesce(F.bool_and(n), F.lit(True)).alias(n) for n in names))
+    return every.unpivot([], list(names), "name", "holds")
+
+
 def holds_sql(*names):
     """All of them should hold."""
     return "SELECT unnest([" + ", ".join(f"'{n}'" for n in names) + "]) AS name, true AS holds"
@@ -281,13 +287,21 @@ def refine(spark, d):
 def inflate(spark, d):
     """Inflated vectors are off by what their codes' tables say, and code products and distances agree with theirs."""
     book = codebook(spark, d)
-    rows = coded(spark, d).join(Q.reconstruction(coded(spark, d), book), "id").where("id % 20 = 0").orderBy("id").limit(1000).toPandas()
-    x, codes = S._matrix(rows["vec"]), np.vstack(rows["codes"].to_list()).astype(np.int64)
-    back, at = Q.decode(book, codes), np.arange(CHUNKS)
-    l2 = np.array([t[at, c].sum() for t, c in zip(Q.tables(book, x), codes, strict=True)])
-    ip = np.array([t[at, c].sum() for t, c in zip(Q.tables(book, x, "ip"), codes, strict=True)])
-    pair = Q.code_distance(book, codes[:-1], codes[1:])
-    return holds(spark, inflated_error=np.allclose(l2, rows["error"]), ip_table=np.allclose(-ip, (x * back).sum(1)), symmetric=np.allclose(pair, ((back[1:] - back[:-1]) ** 2).sum(1)))
+    rows = coded(spark, d).join(Q.reconstruction(coded(spark, d), book), "id")
+
+    def run(batches):
+        at = np.arange(CHUNKS)
+        for b in batches:
+            if len(b):
+                x, codes = S._matrix(b["vec"]), np.vstack(b["codes"].to_list()).astype(np.int64)
+                back, turned = Q.decode(book, codes), np.roll(codes, 1, axis=0)
+                l2 = np.array([t[at, c].sum() for t, c in zip(Q.tables(book, x), codes, strict=True)])
+                ip = np.array([t[at, c].sum() for t, c in zip(Q.tables(book, x, "ip"), codes, strict=True)])
+                pair = ((back - np.roll(back, 1, axis=0)) ** 2).sum(1)
+                yield pd.DataFrame({"inflated_error": np.isclose(l2, b["error"]), "ip_table": np.isclose(-ip, (x * back).sum(1)), "symmetric": np.isclose(Q.code_distance(book, codes, turned), pair)})
+
+    names = ("inflated_error", "ip_table", "symmetric")
+    return all_hold(rows.mapInPandas(run, ", ".join(f"{n} boolean" for n in names)), names)
 
 
 @add("j12_lut_u8", holds_sql("u8_within_step", "u16_within_step", "u16_recall"))
@@ -317,11 +331,15 @@ def subset(spark, d):
 def disk_pq(spark, d):
     """Where vectors are kept as codes, a row's distance is that to its inflated vector."""
     e, book = base(spark, d), codebook(spark, d)
-    rows = coded(spark, d).where("id % 20 = 0").orderBy("id").limit(500).toPandas()
-    x, codes = S._matrix(rows["vec"]), np.vstack(rows["codes"].to_list()).astype(np.int64)
-    found = Q.adc_topk(query_set(e).where(F.col("qid") == int(rows["id"][0])), coded(spark, d).where("id % 20 = 0"), book, 500).toPandas().set_index("id")["distance"]
-    want = ((Q.decode(book, codes) - x[0]) ** 2).sum(1)
-    return holds(spark, code_distance_of_expanded=np.allclose(found.loc[rows["id"]].to_numpy(), want, atol=1e-6))
+    found = Q.adc_topk(query_set(e), coded(spark, d), book, POOL).join(coded(spark, d).select("id", "codes"), "id").join(query_set(e), "qid")
+
+    def run(batches):
+        for b in batches:
+            if len(b):
+                want = ((Q.decode(book, np.vstack(b["codes"].to_list()).astype(np.int64)) - S._matrix(b["qvec"])) ** 2).sum(1)
+                yield pd.DataFrame({"code_distance_of_expanded": np.isclose(b["distance"], want, atol=1e-6)})
+
+    return all_hold(found.mapInPandas(run, "code_distance_of_expanded boolean"), ("code_distance_of_expanded",))
 
 
 @add("a9_opq_rotation", holds_sql("orthogonal", "no_worse"))
