@@ -446,3 +446,15 @@ def cached_nodes(spark, d):
 def beams(spark, d):
     rows = [(w, e, u, h, budgets.next_beam(w, e, u, h, 4, 8, 0.25)) for w in (1, 4, 8) for e in (0, 4, 8) for u in (0, 3, 4, 6, 8) for h in (0, 4, 5, 20) if u <= e]
     return spark.createDataFrame(rows, "width int, expanded int, useful int, hop int, next int")
+
+
+@add("m5_hub_ablation", f"WITH {EV}, H AS (SELECT * FROM (SELECT label, E.id, vec, row_number() OVER (PARTITION BY label ORDER BY round(raw, 9) DESC, E.id) AS r FROM E JOIN R ON E.id = R.id) WHERE r = 1), D AS (SELECT q.id AS query_id, H.id AS hub_id, round({L2.format(a='q.vec', b='H.vec')}, 9) AS distance FROM E q JOIN H ON q.label <> H.label WHERE q.id % 20 = 0), X AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, hub_id) AS rank FROM D) SELECT query_id, rank, hub_id FROM X WHERE rank <= 8")
+def hub_ablation(spark, d):
+    """Instead of gateways the hubs of all other communities, the nearest first, up to eight scores."""
+    e, m = base(spark, d), members(spark, d)
+    h = importance(spark, d).join(m, "id").groupBy("community").agg(F.min(F.struct((-F.round("raw", 9)).alias("m"), "id"))["id"].alias("id"))
+    found = S.exact_topk(query_set(e), e.join(h, "id").select("id", "vec"), 9).select(F.col("qid").alias("query_id"), F.col("id").alias("hub_id"), F.round("distance", 9).alias("distance"))
+    own = m.select(F.col("id").alias("query_id"), F.col("community").alias("own"))
+    other = found.join(own, "query_id").join(h.select(F.col("id").alias("hub_id"), "community"), "hub_id").where("community <> own")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "hub_id")).cast("long")
+    return other.withColumn("rank", rank).where("rank <= 8").select("query_id", "rank", "hub_id")
