@@ -82,6 +82,24 @@ def test_index_of_many_shards(spark, tmp_path):
     assert empty.nodes.count() == 0 and empty.search(q, 10).count() == 0
 
 
+def test_near_graph_of_many_blocks(spark):
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(size=(500, 16)), np.ones((60, 16)), np.zeros((3, 16))])
+    rows = [(3 * i, v.tolist()) for i, v in enumerate(x)]
+    base = spark.createDataFrame([*rows, rows[7], (9_999, None)], "id long, vec array<double>")
+    want = {}
+    for i, v in enumerate(x):
+        d = np.cumsum((x - v) * (x - v), axis=1)[:, -1].tolist()  # in the order of the coordinates
+        want[3 * i] = [(3 * j, d[j]) for j in sorted((j for j in range(len(x)) if j != i), key=lambda j: (d[j], j))[:8]]
+    for block in (100, 4096):
+        got = {}
+        for r in I.near_graph(base, 8, block).orderBy("src", "pos").collect():
+            got.setdefault(r.src, []).append((r.dst, r.distance))
+        assert got == want
+    assert I.near_graph(base.limit(0), 8).count() == 0
+    assert {(r.src, r.dst) for r in I.near_graph(base.where("id < 9"), 8, 1).collect()} == {(i, j) for i in (0, 3, 6) for j in (0, 3, 6) if i != j}
+
+
 def test_bfs_query_reaches_all_levels(spark, tmp_path):
     from vecspark.plans import QUERIES
 
