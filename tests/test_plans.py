@@ -82,6 +82,19 @@ def test_index_of_many_shards(spark, tmp_path):
     assert empty.nodes.count() == 0 and empty.search(q, 10).count() == 0
 
 
+def test_walk_of_a_label_stays_in_its_rows(spark, tmp_path):
+    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("vec"), F.array("label").alias("labels"))
+    wanted = e.where(F.array_contains("labels", 3))
+    q = e.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
+    truth = S.exact_topk(q, wanted, 20).withColumn("distance", F.round("distance", 9))
+    for capacity in (128, 4096):
+        index = I.build_index(e, str(tmp_path / str(capacity)), capacity=capacity)
+        found = index.search(q, 10, label=3, probes=index.cells.count())
+        assert found.join(wanted, "id", "left_anti").count() == 0
+        assert R.recall_at_k(found, truth, 10).agg(F.avg("recall")).first()[0] >= 95
+        assert found.agg(F.max("work")).first()[0] <= 2 * wanted.count() / (1 + (capacity == 4096))  # a row is in two shards
+
+
 def test_near_graph_of_many_blocks(spark):
     rng = np.random.default_rng(5)
     x = np.vstack([rng.normal(size=(500, 16)), np.ones((60, 16)), np.zeros((3, 16))])
