@@ -58,7 +58,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     first = found.where("doc_id = component_id").groupBy("component").agg(F.min("_k").alias("first"))
     stays = materialize(first.select(F.col("first").alias("_k"), F.lit(True).alias("first")), "kept")
     told = has_words & F.col("doc_id").isNotNull()
-    rows = _own(docs).withColumn("told", told).join(stays, "_k", "left").where(~F.col("told") | F.col("first"))
+    rows = _own(docs).withColumn("told", told).join(stays.hint("merge"), "_k", "left").where(~F.col("told") | F.col("first"))
     once = rows.where("told").groupBy("_k", "doc_id").agg(F.first("text").alias("text"), F.min(F.struct("lang", "source", "n_chars")).alias("rest"))
     return once.select("doc_id", "text", "rest.*").select(*COLUMNS).unionByName(rows.where(~F.col("told")).select(*COLUMNS))
 

@@ -175,3 +175,23 @@ def test_run_leaves_only_its_last_tables(spark, tmp_path):
     before = set(here.iterdir())
     corpus_pipeline.run(spark, d).collect()
     assert sorted(p.name.split("-")[0] for p in set(here.iterdir()) - before) == ["decontamination"]
+
+
+def test_near_dedup_broadcasts_nothing_from_the_driver(spark, monkeypatch):
+    import corpus_pipeline
+    from vecspark.llm import components as C
+    from vecspark.llm import simhash as H
+
+    plans = []
+
+    def kept(df, name="stage", write=H.materialize):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return write(df, name)
+
+    for module in (C, H, corpus_pipeline):
+        monkeypatch.setattr(module, "materialize", kept)
+    docs = spark.createDataFrame([(i, f"one two three four five six {i // 2} eight nine ten", "en", "web", 40) for i in range(8)], "doc_id long, text string, lang string, source string, n_chars long")
+    last = corpus_pipeline.near_dedup(spark, docs, "")
+    plans.append(last._jdf.queryExecution().sparkPlan().toString())
+    assert last.count() <= 4 and any("SortMergeJoin" in p for p in plans)
+    assert not any("Broadcast" in p for p in plans)

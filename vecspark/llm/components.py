@@ -16,11 +16,11 @@ def _star(edges: DataFrame, larger: bool) -> DataFrame:
     if larger:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        out = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        out = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
-        joined = down.join(least, "u")
+        joined = down.join(least.hint("merge"), "u")
         out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     return out.where("u <> v").distinct()
 
@@ -29,7 +29,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of edges (u, v); component is the least node reached.
 
     Nodes without an edge are not listed. Edges stay distributed; every round is written to the
-    shared folder and only its row count and checksum reach the driver.
+    shared folder and only its row count and checksum reach the driver: no join is broadcast from there.
     """
     now = materialize(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v").distinct(), "edges")
     seen = None

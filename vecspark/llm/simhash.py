@@ -9,6 +9,9 @@ there are more fingerprints. The budgets of longer chains prune these before the
 
 Equal fingerprints are one row from the start, and a key's group gives a spanning forest of its
 links, not its pairs. Large groups are dealt out as pairs of blocks over many tasks.
+
+Tables here grow with the documents and pack well in files, so that Spark would take them for small and build them on
+the driver to broadcast them: joins are merges.
 """
 
 from __future__ import annotations
@@ -178,7 +181,7 @@ def fingerprint_links(fps: DataFrame, budget: int = 4, block: int = BLOCK, depth
     entry = [F.struct(F.lit(j).alias("j"), F.lit(s).alias("start"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("part")) for j, (s, m) in enumerate(keys)]
     rows = fps.select("fp", F.explode(F.array(*entry)).alias("e")).select("fp", "e.*")
     sizes = materialize(rows.groupBy("j", "part").agg(F.count("*").alias("n")).where("n > 1"), "keys")
-    rows = rows.join(sizes, ["j", "part"]).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    rows = rows.join(sizes.hint("merge"), ["j", "part"]).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     # A row of block b goes to the pairs (b, c) for every c, so each pair of blocks meets once.
     rows = rows.withColumn("b", own).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -205,7 +208,7 @@ def simhash_components(documents: DataFrame, shingle: int = 4, seed: int = 42, b
     marked = materialize(simhash(documents, shingle, seed), "fingerprints")
     fps = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     found = components(fingerprint_links(fps.select("fp"), budget))
-    classed = fps.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    classed = fps.join(found.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = classed.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_fp = materialize(classed.join(least, "component").select("fp", "component", "component_id"), "classes")
-    return marked.join(by_fp, "fp").select("_k", "doc_id", "fp", "component", "component_id")
+    by_fp = materialize(classed.join(least.hint("merge"), "component").select("fp", "component", "component_id"), "classes")
+    return marked.join(by_fp.hint("merge"), "fp").select("_k", "doc_id", "fp", "component", "component_id")
